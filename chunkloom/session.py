@@ -38,6 +38,7 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
         **{
             "spark.sql.shuffle.partitions": str(cpus),
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("CHUNKLOOM_DRIVER_MEMORY", "8g"),
             "spark.sql.streaming.stateStore.providerClass":
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
