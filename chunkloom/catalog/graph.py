@@ -71,12 +71,13 @@ def import_edges(spark, folder):
 
 @register(
     "graph_stats",
-    "WITH" + DOC_CHUNKS + "," + EDGES + "," + IMPORTS + """
-SELECT c.repository_id, count(*) AS chunks_scanned,
-       (SELECT count(*) FROM edges e WHERE e.repository_id = c.repository_id) AS references_created,
-       (SELECT count(*) FROM imports e WHERE e.repository_id = c.repository_id) AS imports_created,
-       references_created + imports_created AS total_created
-FROM doc_chunks c GROUP BY c.repository_id""",
+    "WITH" + DOC_CHUNKS + "," + EDGES + "," + IMPORTS + """,
+made AS (
+  SELECT c.repository_id, count(*) AS chunks_scanned,
+         (SELECT count(*) FROM edges e WHERE e.repository_id = c.repository_id) AS references_created,
+         (SELECT count(*) FROM imports e WHERE e.repository_id = c.repository_id) AS imports_created
+  FROM doc_chunks c GROUP BY c.repository_id)
+SELECT *, references_created + imports_created AS total_created FROM made""",
 )
 def graph_stats(spark, folder):
     docs = doc_chunks(spark, folder)

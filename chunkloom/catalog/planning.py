@@ -71,7 +71,7 @@ WORD_QUERIES = r"""
 word_queries AS (
   SELECT item_id AS run_id, 'src' || (item_id % 20) AS repository_id, item_id AS issue_number, unnest(w) AS query, unnest(range(1, len(w) + 1)) AS query_no
   FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark)),
-terms AS (
+history_terms AS (
   SELECT run_id, repository_id, issue_number, query_no, lower(trim(query)) AS term FROM word_queries WHERE query_no <= 5 AND length(trim(query)) >= 3)"""
 
 
@@ -88,7 +88,7 @@ issues AS (SELECT source AS repository_id, doc_id AS number, string_split(text,
 issue_hits AS (
   SELECT t.run_id, t.query_no, i.number, i.title, i.html_url,
          row_number() OVER (PARTITION BY t.run_id, t.query_no ORDER BY i.number) AS r
-  FROM terms t JOIN issues i ON i.repository_id = t.repository_id AND i.number <> t.issue_number
+  FROM history_terms t JOIN issues i ON i.repository_id = t.repository_id AND i.number <> t.issue_number
    AND (contains(lower(i.title), t.term) OR contains(lower(i.body), t.term)) QUALIFY r <= 5),
 past AS (
   SELECT run_id, number, any_value(title) AS title, any_value(html_url) AS html_url, min(query_no) AS query_no,
@@ -99,7 +99,7 @@ COMMIT_SQL = """
 commits AS (SELECT 'src' || (conv_id % 20) AS repository_id, conv_id || '-' || turn AS sha, turn AS ts, string_split(text, chr(10))[1] AS subject, text AS message FROM conversations),
 commit_hits AS (
   SELECT t.run_id, t.query_no, c.sha, c.subject, row_number() OVER (PARTITION BY t.run_id, t.query_no ORDER BY c.ts DESC, c.sha) AS r
-  FROM terms t JOIN commits c ON c.repository_id = t.repository_id
+  FROM history_terms t JOIN commits c ON c.repository_id = t.repository_id
    AND (contains(lower(c.subject), t.term) OR contains(lower(c.message), t.term)) QUALIFY r <= 3),
 log AS (
   SELECT run_id, sha, any_value(subject) AS subject, row_number() OVER (PARTITION BY run_id ORDER BY min({q: query_no, r: r}), sha) AS rank
@@ -129,7 +129,7 @@ related AS (
   FROM uniq u JOIN doc_chunks c USING (repository_id, chunk_id)
   WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.set_id = u.set_id AND s.chunk_id = u.chunk_id) QUALIFY rank <= 20),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY query_id) AS n FROM bench_queries),
-terms AS (
+history_terms AS (
   SELECT repository_id AS run_id, repository_id, -1 AS issue_number, query_id AS query_no, lower(trim(query)) AS term
   FROM numbered WHERE n <= 5 AND length(trim(query)) >= 3),""" + ISSUE_SQL + "," + COMMIT_SQL + """,
 runs AS (SELECT repository_id AS run_id, arg_min(query, query_id) AS body FROM bench_queries GROUP BY ALL),

@@ -47,14 +47,12 @@ def branch_of(ref: Column | str) -> Column:
     return F.when(r.startswith(BRANCH_PREFIX), F.substring(r, len(BRANCH_PREFIX) + 1, 100_000))
 
 
-def signature_valid(body: Column | str, header: Column | str, secret: str | None) -> Column:
-    """Check an HMAC-SHA256 header against the raw body; false when secret or header is missing.
+def sign(body: Column | str, secret: str) -> Column:
+    """HMAC-SHA256 header value of a raw body.
 
-    The two padded key blocks are literals made on the driver, so the check is two nested hashes
-    and needs no Python worker.
+    The two padded key blocks are literals made on the driver, so it is two nested hashes and needs
+    no Python worker.
     """
-    if not secret:
-        return F.lit(False)
     key = secret.encode("utf-8")
     if len(key) > 64:
         key = hashlib.sha256(key).digest()
@@ -62,8 +60,14 @@ def signature_valid(body: Column | str, header: Column | str, secret: str | None
     inner_pad = F.lit(bytes(b ^ 0x36 for b in key))
     outer_pad = F.lit(bytes(b ^ 0x5C for b in key))
     inner = F.unhex(F.sha2(F.concat(inner_pad, _col(body)), 256))
-    digest = F.sha2(F.concat(outer_pad, inner), 256)
-    return F.coalesce(_col(header) == F.concat(F.lit(SIGNATURE_PREFIX), digest), F.lit(False))
+    return F.concat(F.lit(SIGNATURE_PREFIX), F.sha2(F.concat(outer_pad, inner), 256))
+
+
+def signature_valid(body: Column | str, header: Column | str, secret: str | None) -> Column:
+    """Check a signature header; false when secret or header is missing or malformed."""
+    if not secret:
+        return F.lit(False)
+    return F.coalesce(_col(header) == sign(body, secret), F.lit(False))
 
 
 def parse_ts(value: Column | str) -> Column:
