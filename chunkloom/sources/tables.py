@@ -43,9 +43,11 @@ class TableStore:
             return []
         return self._manifests().filter(F.col("version") == latest).collect()  # ≤ tables × buckets rows
 
-    def read(self, table: str, repository_ids: list[str] | None = None) -> DataFrame:
-        """Current rows; with ids, only their buckets are listed and the filter reaches the scan."""
-        wanted = None
+    def read(
+        self, table: str, repository_ids: list[str] | None = None, buckets: list[int] | None = None
+    ) -> DataFrame:
+        """Current rows; with ids or buckets, only those buckets are listed and ids reach the scan."""
+        wanted = None if buckets is None else set(buckets)
         if repository_ids is not None:
             ids = self.spark.createDataFrame([(r,) for r in repository_ids], "repository_id string")
             wanted = {r[0] for r in ids.select(bucket_of(buckets=self.buckets)).distinct().collect()}

@@ -44,7 +44,7 @@ def apply_pushes(
     if buckets and (store.version() or 0) < version:
         files = snapshots(wanted)
         in_scope = lambda df: df.join(wanted.select("repository_id"), "repository_id", "left_semi")
-        current = Corpus(store.read("files"), store.read("chunks"))
+        current = Corpus(store.read("files", buckets=buckets), store.read("chunks", buckets=buckets))
         prior = Corpus(in_scope(current.files), in_scope(current.chunks))
         fresh = wanted.filter("is_new").select("repository_id")
         of = lambda df, how: df.join(fresh, "repository_id", how)
