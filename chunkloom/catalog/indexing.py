@@ -244,13 +244,13 @@ def prior_corpus(spark, folder):
     indexed = incremental.readable(old_files(spark, folder))
     files = indexed.withColumn("file_id", incremental.new_file_id())
     chunks = chunk_corpus(files.select("repository_id", "file_id", F.col("path").alias("file_path"), "language", "text"))
-    chunks = chunks.withColumn("chunk_id", incremental.new_chunk_id())
+    chunks = cut(chunks.withColumn("chunk_id", incremental.new_chunk_id()))  # stands for the stored table
     return Corpus(files.select("file_id", "repository_id", "path", "language", "content_hash"), chunks)
 
 
 @register("chunk_merge", MERGE + " SELECT repository_id, path AS file_path, content_hash, occurrence_no, op FROM ops")
 def chunk_merge(spark, folder):
-    result = apply_decisions(cut(decisions_of(spark, folder)), prior_corpus(spark, folder), None)
+    result = apply_decisions(decisions_of(spark, folder), prior_corpus(spark, folder), None)
     return result.chunk_ops.select("repository_id", "file_path", "content_hash", "occurrence_no", "op")
 
 
@@ -274,7 +274,7 @@ FROM decided d LEFT JOIN chunk_counts cc USING (repository_id) LEFT JOIN dropped
 GROUP BY d.repository_id""",
 )
 def incremental_stats(spark, folder):
-    result = apply_decisions(cut(decisions_of(spark, folder)), prior_corpus(spark, folder), None)
+    result = apply_decisions(decisions_of(spark, folder), prior_corpus(spark, folder), None)
     return result.stats.drop("no_op")
 
 
@@ -291,14 +291,14 @@ def incremental_index_query(spark, folder):
     """The edited snapshot applied as a diff to the index of the old one."""
     prior = prior_corpus(spark, folder)
     new = new_files(spark, folder).filter(incremental.is_safe_relative_path("path"))
-    return incremental_index(diff_of(prior.files, new), new, prior, staged=True).corpus.chunks.select(CHUNK_OUT)
+    return incremental_index(diff_of(prior.files, new), new, prior).corpus.chunks.select(CHUNK_OUT)
 
 
 @register("full_index", FINAL_CHUNKS)
 def full_index_query(spark, folder):
     """The edited snapshot indexed as a whole over the old index: the same final chunks."""
     tracked = new_files(spark, folder).filter(incremental.is_safe_relative_path("path"))
-    return full_index(tracked, prior_corpus(spark, folder), staged=True).corpus.chunks.select(CHUNK_OUT)
+    return full_index(tracked, prior_corpus(spark, folder)).corpus.chunks.select(CHUNK_OUT)
 
 
 @register(

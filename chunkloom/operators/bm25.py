@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import tokenize
 from chunkloom.schemas import BM25_CANDIDATES
-from chunkloom.session import sized_broadcast
+from chunkloom.session import BROADCAST_BYTES, cut, is_small, spread
 
 # Fixed values.
 K1 = 1.5
@@ -39,7 +39,9 @@ def _idf(df: Column, n: Column) -> Column:
 def postings(chunks: DataFrame) -> DataFrame:
     """Term counts per chunk. All tokens of a chunk are in one row, so the partial aggregate before
     the shuffle already yields final counts."""
-    tokens = chunks.select("repository_id", "chunk_id", tokenize("content").alias("tokens"))
+    tokens = spread(chunks.select("repository_id", "chunk_id", "content")).select(
+        "repository_id", "chunk_id", tokenize("content").alias("tokens")
+    )
     return (
         tokens.select("repository_id", "chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
         .groupBy("repository_id", "chunk_id", "token", "doc_len")
@@ -48,10 +50,13 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def build_index(chunks: DataFrame) -> Bm25Index:
-    posted = postings(chunks)
+    """Tokenize once: postings are written to reliable storage and everything else is read from them."""
+    posted = cut(postings(chunks))
     terms = posted.groupBy("repository_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    sizes = chunks.groupBy("repository_id").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(tokenize("content"))).alias("n_tokens")
+    n_tokens = posted.groupBy("repository_id").agg(F.sum("tf").alias("n_tokens"))
+    # Chunks without tokens count as documents too.
+    sizes = chunks.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_docs")).join(
+        n_tokens, "repository_id", "left"
     )
     # Mean idf from the histogram of df values: few rows per repository meet the join with N.
     histogram = terms.groupBy("repository_id", "df").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -61,18 +66,21 @@ def build_index(chunks: DataFrame) -> Bm25Index:
         .agg((F.sum(F.col("n_terms") * _idf(F.col("df"), F.col("n_docs"))) / F.sum("n_terms")).alias("avg_idf"))
     )
     stats = sizes.join(mean_idf, "repository_id", "left").select(
-        "repository_id", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len"), "avg_idf"
+        "repository_id", "n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.col("n_docs")).alias("avg_len"), "avg_idf"
     )
     return Bm25Index(posted, terms, stats)
 
 
-def query_terms(queries: DataFrame, index: Bm25Index) -> DataFrame:
-    """Weighted query tokens: idf after the floor, repeats as ``qtf``."""
-    tokens = (
+def query_tokens(queries: DataFrame) -> DataFrame:
+    """Distinct tokens per query, repeats as ``qtf``."""
+    return (
         queries.select("repository_id", "query_id", F.explode(tokenize("query")).alias("token"))
         .groupBy("repository_id", "query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
     )
-    tokens = sized_broadcast(tokens)
+
+
+def query_terms(tokens: DataFrame, index: Bm25Index) -> DataFrame:
+    """Query tokens that occur in their repository, with the idf after the floor."""
     weighted = index.terms.join(tokens, ["repository_id", "token"]).join(index.stats, "repository_id")
     raw = _idf(F.col("df"), F.col("n_docs"))
     return weighted.select(
@@ -82,18 +90,22 @@ def query_terms(queries: DataFrame, index: Bm25Index) -> DataFrame:
 
 
 def scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
-    """Positive scores of every (query, chunk) that share a token."""
-    terms = query_terms(queries, index)
-    tokens = sized_broadcast(
-        queries.select("repository_id", F.explode(F.array_distinct(tokenize("query"))).alias("token")).distinct()
-    )
-    used = index.postings.join(tokens, ["repository_id", "token"], "left_semi")
+    """Positive scores of every (query, chunk) that share a token.
+
+    When the query tokens measure small, they and their weights (at most one row per token) are
+    broadcast, and the postings are filtered where they are read. Otherwise both sides meet in a
+    shuffle, where adaptive execution splits the posting list of a common token.
+    """
+    tokens = query_tokens(queries)
+    small = is_small(tokens, BROADCAST_BYTES // 4)
+    hint = F.broadcast if small else (lambda df: df)
+    terms = hint(query_terms(hint(tokens), index))
     weight = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     )
     return (
-        used.join(terms, ["repository_id", "token"])
+        index.postings.join(terms, ["repository_id", "token"])
         .groupBy("repository_id", "query_id", "chunk_id")
         .agg(F.round(F.sum(weight), 9).alias("bm25_score"))
         .filter(F.col("bm25_score") > 0)

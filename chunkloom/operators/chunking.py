@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions import NONBLANK, content_hash
 from chunkloom.schemas import LINES_PER_WINDOW, SPAN, SPANS
+from chunkloom.session import spread
 
 # Line separators, heading, key, declaration and import patterns.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -75,7 +76,7 @@ def split_lines(parts: Column) -> Column:
 
 def with_lines(files: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines array<string>``; all line separators of text files count, not only `\\n`."""
-    return files.withColumn("_parts", F.split(F.col(text), LINE_BREAK, -1)).withColumn(
+    return spread(files).withColumn("_parts", F.split(F.col(text), LINE_BREAK, -1)).withColumn(
         "lines", split_lines(F.col("_parts"))
     ).drop("_parts")
 
@@ -214,82 +215,76 @@ def yaml_spans(text: Column, lines: Column, starts: Column) -> Column:
     )
 
 
-def _bracket_delta(quiet: Column) -> Column:
+_FOUND = "array<struct<start:int,stop:int,kind:string,name:string>>"
+
+
+def _raw(pattern: str) -> str:
+    """A pattern as a raw SQL literal."""
+    return "r'" + pattern.replace("'", r"\x27").replace('"', r"\x22") + "'"
+
+
+def _bracket_delta(code: str) -> str:
     """Brackets opened minus brackets closed."""
-    return F.length(F.translate(quiet, ")]}", "")) - F.length(F.translate(quiet, "([{", ""))
+    return f"(length(translate({code}, ')]}}', '')) - length(translate({code}, '([{{', '')))"
 
 
-def _finish(found: Column, lines: Column) -> Column:
-    ordered = F.array_sort(found)
-    return F.transform(
-        ordered,
-        lambda d: _cell(d["name"], d["kind"], d["start"], d["stop"], _text(lines, d["start"], d["stop"])),
-    )
+def _has(text: str, characters: str) -> str:
+    """True when any of the characters occurs; cheaper than a pattern on lines that have none."""
+    quoted = characters.replace("'", "\\'")
+    return f"(length(translate({text}, '{quoted}', '')) < length({text}))"
 
 
-_FOUND = "array<struct<start:int,stop:int,kind:string,name:string>>"
+def _ends(opened: str, stop: str) -> str:
+    return f"transform({opened}, c -> named_struct('start', c.start, 'stop', {stop}, 'kind', c.kind, 'name', c.name))"
+
 
+def _declared(facts: str, zero: str, step: str, last: str, lines: Column) -> Column:
+    """Fold the facts of each line into declarations, then cut their texts.
 
-def _found(opened: Column, stop: Column) -> Column:
+    The fold is SQL text: it has several hundred nodes, and one parse in the JVM is far cheaper than
+    building them one by one from Python.
+    """
+    found = F.expr(f"array_sort(aggregate({facts}, {zero}, (acc, l) -> {step}, acc -> {last}))")
     return F.transform(
-        opened,
-        lambda c: F.struct(
-            c["start"].alias("start"), stop.cast("int").alias("stop"),
-            c["kind"].alias("kind"), c["name"].alias("name"),
-        ),
+        found,
+        lambda d: _cell(d["name"], d["kind"], d["start"], d["stop"], _text(lines, d["start"], d["stop"])),
     )
 
 
 def python_spans(lines: Column) -> Column:
-    """Classes, their methods, and functions; nothing inside a function.
+    """Classes, their methods, and functions; nothing inside a function. ``lines`` is column ``lines``.
 
     A line is structural when it is not blank, no bracket is open before it and it does not start
     inside a triple-quoted string. A declaration ends at the last non-blank line before the next
     structural line that is indented no deeper. Decorators are not part of the span.
     """
-    facts = F.transform(
-        lines,
-        lambda l, i: F.struct(
-            (i + 1).alias("no"),
-            l.rlike(NONBLANK).alias("text"),
-            F.length(F.replace(F.regexp_extract(l, r"^[ \t]*", 0), F.lit("\t"), F.lit(" " * 8))).alias("indent"),
-            F.regexp_extract(l, PY_DECL, 1).alias("word"),
-            F.regexp_extract(l, PY_DECL, 2).alias("name"),
-            _bracket_delta(F.regexp_replace(l, PY_QUIET, "")).alias("delta"),
-            (
-                F.floor((F.length(l) - F.length(F.replace(l, F.lit('"""'), F.lit("")))) / 3)
-                + F.floor((F.length(l) - F.length(F.replace(l, F.lit("'''"), F.lit("")))) / 3)
-            ).cast("int").alias("quotes"),
-        ),
-    )
-    opened_type = "array<struct<start:int,indent:int,kind:string,name:string>>"
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("quoted"), F.lit(0).alias("last"),
-        F.array().cast(opened_type).alias("open"), F.array().cast(_FOUND).alias("out"),
-    )
-
-    def step(acc: Column, l: Column) -> Column:
-        structural = l["text"] & (acc["depth"] <= 0) & (acc["quoted"] == 0)
-        closing = F.filter(acc["open"], lambda c: structural & (c["indent"] >= l["indent"]))
-        kept = F.filter(acc["open"], lambda c: ~structural | (c["indent"] < l["indent"]))
-        in_function = F.exists(kept, lambda c: c["kind"] != "class")
-        in_class = F.exists(kept, lambda c: c["kind"] == "class")
-        starts = structural & (l["word"] != "") & ~in_function
-        kind = F.when(l["word"] == "class", "class").when(in_class, "method").otherwise("function")
-        opened = F.array(
-            F.struct(l["no"].alias("start"), l["indent"].alias("indent"), kind.alias("kind"), l["name"].alias("name"))
-        ).cast(opened_type)
-        quiet = (acc["quoted"] == 1) | (l["quotes"] > 0)
-        return F.struct(
-            F.when(quiet, acc["depth"]).otherwise(F.greatest(acc["depth"] + l["delta"], F.lit(0))).alias("depth"),
-            F.pmod(acc["quoted"] + l["quotes"], F.lit(2)).alias("quoted"),
-            F.when(l["text"], l["no"]).otherwise(acc["last"]).alias("last"),
-            F.when(starts, F.concat(kept, opened)).otherwise(kept).alias("open"),
-            F.concat(acc["out"], _found(closing, acc["last"])).alias("out"),
-        )
-
-    found = F.aggregate(facts, zero, step, lambda acc: F.concat(acc["out"], _found(acc["open"], acc["last"])))
-    return _finish(found, lines)
+    triple = " + ".join(
+        f"(length(l) - length(replace(l, repeat({_raw(q)}, 3), ''))) div 3" for q in (r"\x22", r"\x27")
+    ).replace(_raw(r"\x22"), "'\"'").replace(_raw(r"\x27"), "\"'\"")
+    declares = "(contains(l, 'def') OR contains(l, 'class'))"
+    facts = f"""transform(lines, (l, i) -> named_struct(
+        'no', i + 1, 'filled', l rlike {_raw(NONBLANK)},
+        'indent', length(replace(left(l, length(l) - length(ltrim(' \t', l))), '\t', '        ')),
+        'word', CASE WHEN {declares} THEN regexp_extract(l, {_raw(PY_DECL)}, 1) ELSE '' END,
+        'name', CASE WHEN {declares} THEN regexp_extract(l, {_raw(PY_DECL)}, 2) ELSE '' END,
+        'delta', CASE WHEN {_has("l", "()[]{}")} THEN {_bracket_delta(f"regexp_replace(l, {_raw(PY_QUIET)}, '')")} ELSE 0 END,
+        'quotes', CASE WHEN {_has("l", "'")} OR {_has("l", '"')} THEN cast({triple} as int) ELSE 0 END))"""
+    opened = "array<struct<start:int,indent:int,kind:string,name:string>>"
+    zero = f"""named_struct('depth', 0, 'quoted', 0, 'last', 0,
+        'open', cast(array() as {opened}), 'out', cast(array() as {_FOUND}))"""
+    structural = "(l.filled AND acc.depth <= 0 AND acc.quoted = 0)"
+    closing = f"filter(acc.open, c -> {structural} AND c.indent >= l.indent)"
+    kept = f"filter(acc.open, c -> NOT {structural} OR c.indent < l.indent)"
+    kind = f"CASE WHEN l.word = 'class' THEN 'class' WHEN exists({kept}, c -> c.kind = 'class') THEN 'method' ELSE 'function' END"
+    starts = f"({structural} AND l.word <> '' AND NOT exists({kept}, c -> c.kind <> 'class'))"
+    one = f"cast(array(named_struct('start', l.no, 'indent', l.indent, 'kind', {kind}, 'name', l.name)) as {opened})"
+    step = f"""named_struct(
+        'depth', CASE WHEN acc.quoted = 1 OR l.quotes > 0 THEN acc.depth ELSE greatest(acc.depth + l.delta, 0) END,
+        'quoted', pmod(acc.quoted + l.quotes, 2),
+        'last', CASE WHEN l.filled THEN l.no ELSE acc.last END,
+        'open', CASE WHEN {starts} THEN concat({kept}, {one}) ELSE {kept} END,
+        'out', concat(acc.out, {_ends(closing, "acc.last")}))"""
+    return _declared(facts, zero, step, f"concat(acc.out, {_ends('acc.open', 'acc.last')})", lines)
 
 
 def js_spans(lines: Column) -> Column:
@@ -298,109 +293,60 @@ def js_spans(lines: Column) -> Column:
     Bracket depth is followed line by line outside strings, templates and comments. A declaration
     with a body ends where the depth returns to its start depth after a brace was opened; one
     that ends in `;` before any brace (an overload or a signature) is not a declaration here.
+    Two folds: the first removes what is not code, the second follows the depth.
     """
-    facts = F.transform(
-        lines,
-        lambda l, i: F.struct(
-            (i + 1).alias("no"),
-            F.regexp_replace(l, JS_QUIET, "").alias("code"),
-            F.regexp_replace(F.regexp_replace(l, r"^[^`]*`", ""), JS_QUIET, "").alias("after_template"),
-            l.contains("*/").alias("ends_comment"),
-            l.contains("`").alias("has_tick"),
-            F.when(l.rlike(JS_CLASS), "class").when(l.rlike(JS_ABSTRACT), "abstract")
-            .when(l.rlike(JS_INTERFACE), "interface").when(l.rlike(JS_FUNCTION), "function")
-            .when(l.rlike(JS_VALUE), "value").when(l.rlike(JS_METHOD), "method").alias("word"),
-            F.coalesce(
-                F.nullif(F.regexp_extract(l, JS_CLASS, 1), F.lit("")),
-                F.nullif(F.regexp_extract(l, JS_ABSTRACT, 1), F.lit("")),
-                F.nullif(F.regexp_extract(l, JS_INTERFACE, 1), F.lit("")),
-                F.nullif(F.regexp_extract(l, JS_FUNCTION, 1), F.lit("")),
-                F.nullif(F.regexp_extract(l, JS_VALUE, 1), F.lit("")),
-                F.regexp_extract(l, JS_METHOD, 1),
-            ).alias("name"),
-        ),
-    )
-    opened_type = "array<struct<start:int,depth:int,kind:string,name:string,brace:boolean,arrow:boolean>>"
-    zero = F.struct(
-        F.lit(0).alias("depth"), F.lit("").alias("inside"), F.lit(0).alias("last"),
-        F.array().cast(opened_type).alias("open"), F.array().cast(_FOUND).alias("out"),
-    )
-
-    def step(acc: Column, l: Column) -> Column:
-        in_comment = acc["inside"] == "comment"
-        in_template = acc["inside"] == "template"
-        plain = ~(in_comment | in_template)
-        code = (
-            F.when(plain, l["code"])
-            .when(in_template & l["has_tick"], l["after_template"])
-            .otherwise(F.lit(""))
-        )
-        opens_comment = code.contains("/*")
-        opens_template = code.contains("`")
-        code = F.regexp_replace(code, r"/\*.*$|`.*$", "")
-        inside = (
-            F.when(in_comment & ~l["ends_comment"], "comment")
-            .when(in_template & ~l["has_tick"], "template")
-            .when(opens_comment, "comment").when(opens_template, "template").otherwise("")
-        )
-        depth = F.greatest(acc["depth"] + _bracket_delta(code), F.lit(0))
-        top = F.get(acc["open"], F.size(acc["open"]) - 1)
-        in_body = F.exists(acc["open"], lambda c: ~c["kind"].isin("class", "abstract"))
-        in_class = F.coalesce(
-            top["kind"].isin("class", "abstract") & (acc["depth"] == top["depth"] + 1), F.lit(False)
-        )
-        starts = F.coalesce(
-            plain & ~in_body & l["word"].isNotNull()
-            & ((l["word"] != "method") | (in_class & ~l["name"].rlike(JS_NOT_METHOD))),
-            F.lit(False),
-        )
-        opened = F.array(
-            F.struct(
-                l["no"].alias("start"), acc["depth"].alias("depth"), l["word"].alias("kind"),
-                l["name"].alias("name"), F.lit(False).alias("brace"), F.lit(False).alias("arrow"),
-            )
-        ).cast(opened_type)
-        has_brace, has_arrow = code.contains("{"), code.rlike(r"=>|\bfunction\b")
-        pending = F.transform(
-            F.when(starts, F.concat(acc["open"], opened)).otherwise(acc["open"]),
-            lambda c: F.struct(
-                c["start"].alias("start"), c["depth"].alias("depth"), c["kind"].alias("kind"),
-                c["name"].alias("name"), (c["brace"] | has_brace).alias("brace"),
-                (c["arrow"] | has_arrow).alias("arrow"),
-            ),
-        )
-        ends_statement = code.rlike(r";\s*$")
-        open_ended = code.rlike(JS_OPEN_ENDED) | ~code.rlike(r"\S")
-
-        def done(c: Column) -> Column:
-            return (depth <= c["depth"]) & F.when(c["kind"] == "value", ends_statement | ~open_ended).otherwise(
-                c["brace"] | ends_statement
-            )
-
-        closing = F.filter(
-            pending,
-            lambda c: done(c) & (c["kind"] != "abstract")
-            & F.when(c["kind"] == "value", c["arrow"]).otherwise(c["brace"]),
-        )
-        return F.struct(
-            depth.alias("depth"), inside.alias("inside"),
-            F.when(code.rlike(r"\S"), l["no"]).otherwise(acc["last"]).alias("last"),
-            F.filter(pending, lambda c: ~done(c)).alias("open"),
-            F.concat(acc["out"], _found(closing, l["no"])).alias("out"),
-        )
-
-    def last_step(acc: Column) -> Column:
-        rest = F.filter(acc["open"], lambda c: (c["kind"] != "abstract") & (c["brace"] | c["arrow"]))
-        return F.transform(
-            F.concat(acc["out"], _found(rest, acc["last"])),
-            lambda d: F.struct(
-                d["start"].alias("start"), d["stop"].alias("stop"),
-                F.when(d["kind"] == "value", "function").otherwise(d["kind"]).alias("kind"),
-                d["name"].alias("name"),
-            ),
-        )
-
-    return _finish(F.aggregate(facts, zero, step, last_step), lines)
+    quiet = lambda text: f"regexp_replace({text}, {_raw(JS_QUIET)}, '')"
+    words = [("class", JS_CLASS), ("abstract", JS_ABSTRACT), ("interface", JS_INTERFACE),
+             ("function", JS_FUNCTION), ("value", JS_VALUE), ("method", JS_METHOD)]
+    needs = {"class": "class", "abstract": "class", "interface": "interface", "function": "function", "value": "=", "method": "("}
+    word = " ".join(f"WHEN contains(l, '{needs[w]}') AND l rlike {_raw(p)} THEN '{w}'" for w, p in words)
+    name = " ".join(f"WHEN contains(l, '{needs[w]}') AND l rlike {_raw(p)} THEN regexp_extract(l, {_raw(p)}, 1)" for w, p in words)
+    facts = f"""transform(lines, (l, i) -> named_struct(
+        'no', i + 1, 'code', CASE WHEN {_has("l", "'`/") } OR contains(l, '"') THEN {quiet("l")} ELSE l END,
+        'after_template', CASE WHEN contains(l, '`') THEN {quiet("regexp_replace(l, '^[^`]*`', '')")} ELSE '' END,
+        'ends_comment', contains(l, '*/'), 'has_tick', contains(l, '`'),
+        'word', CASE {word} END, 'name', CASE {name} END))"""
+    coded = "array<struct<no:int,code:string,plain:boolean,word:string,name:string>>"
+    left = """CASE WHEN acc.inside = '' THEN l.code WHEN acc.inside = 'template' AND l.has_tick THEN l.after_template ELSE '' END"""
+    inside = f"""CASE WHEN acc.inside = 'comment' AND NOT l.ends_comment THEN 'comment'
+        WHEN acc.inside = 'template' AND NOT l.has_tick THEN 'template'
+        WHEN contains({left}, '/*') THEN 'comment' WHEN contains({left}, '`') THEN 'template' ELSE '' END"""
+    # What a line starts inside of, one entry per line; strings grow by one character a line.
+    marks = f"""aggregate(fs, named_struct('inside', '', 'out', ''), (acc, l) -> named_struct(
+        'inside', {inside},
+        'out', concat(acc.out, CASE acc.inside WHEN 'comment' THEN 'c' WHEN 'template' THEN 't' ELSE 'p' END)), acc -> acc.out)"""
+    mark = "substring(m, i + 1, 1)"
+    body = f"""CASE WHEN {mark} = 'p' THEN l.code WHEN {mark} = 't' AND l.has_tick THEN l.after_template ELSE '' END"""
+    # A transform over a one-element array names a value, so facts and marks are computed once.
+    code_lines = f"""flatten(transform(array({facts}), fs -> flatten(transform(array({marks}), m ->
+        transform(fs, (l, i) -> named_struct('no', l.no,
+            'code', regexp_replace({body}, r'/\\*.*$|`.*$', ''), 'plain', {mark} = 'p', 'word', l.word, 'name', l.name))))))"""
+    lines_facts = f"""transform(cast({code_lines} as {coded}), l -> named_struct(
+        'no', l.no, 'plain', l.plain, 'word', l.word, 'name', l.name, 'delta', {_bracket_delta("l.code")},
+        'brace', contains(l.code, '{{'), 'arrow', l.code rlike r'=>|\\bfunction\\b', 'filled', l.code rlike r'\\S',
+        'ends', l.code rlike r';\\s*$', 'open_ended', l.code rlike {_raw(JS_OPEN_ENDED)} OR NOT l.code rlike r'\\S',
+        'method_name', l.word = 'method' AND NOT l.name rlike {_raw(JS_NOT_METHOD)}))"""
+    opened = "array<struct<start:int,depth:int,kind:string,name:string,brace:boolean,arrow:boolean>>"
+    zero = f"""named_struct('depth', 0, 'last', 0, 'open', cast(array() as {opened}), 'out', cast(array() as {_FOUND}))"""
+    depth = "greatest(acc.depth + l.delta, 0)"
+    in_class = "exists(slice(acc.open, greatest(size(acc.open), 1), 1), c -> c.kind IN ('class', 'abstract') AND acc.depth = c.depth + 1)"
+    starts = f"""coalesce(l.plain AND l.word IS NOT NULL AND NOT exists(acc.open, c -> c.kind NOT IN ('class', 'abstract'))
+        AND (l.word <> 'method' OR (l.method_name AND {in_class})), false)"""
+    one = f"""cast(array(named_struct('start', l.no, 'depth', acc.depth, 'kind', l.word, 'name', l.name, 'brace', false, 'arrow', false)) as {opened})"""
+    pending = f"""transform(CASE WHEN {starts} THEN concat(acc.open, {one}) ELSE acc.open END, c -> named_struct(
+        'start', c.start, 'depth', c.depth, 'kind', c.kind, 'name', c.name, 'brace', c.brace OR l.brace, 'arrow', c.arrow OR l.arrow))"""
+    done = f"({depth} <= c.depth AND CASE WHEN c.kind = 'value' THEN l.ends OR NOT l.open_ended ELSE c.brace OR l.ends END)"
+    real = "(c.kind <> 'abstract' AND CASE WHEN c.kind = 'value' THEN c.arrow ELSE c.brace END)"
+    step = f"""CASE WHEN size(acc.open) = 0 AND NOT {starts} THEN named_struct(
+            'depth', {depth}, 'last', CASE WHEN l.filled THEN l.no ELSE acc.last END, 'open', acc.open, 'out', acc.out)
+        ELSE named_struct(
+            'depth', {depth}, 'last', CASE WHEN l.filled THEN l.no ELSE acc.last END,
+            'open', filter({pending}, c -> NOT {done}),
+            'out', concat(acc.out, {_ends(f"filter({pending}, c -> {done} AND {real})", "l.no")})) END"""
+    rest = "filter(acc.open, c -> c.kind <> 'abstract' AND (c.brace OR c.arrow))"
+    last = f"""transform(concat(acc.out, {_ends(rest, "acc.last")}), d -> named_struct('start', d.start, 'stop', d.stop,
+        'kind', CASE WHEN d.kind = 'value' THEN 'function' ELSE d.kind END, 'name', d.name))"""
+    return _declared(lines_facts, zero, step, last, lines)
 
 
 def import_spans(lines: Column) -> Column:

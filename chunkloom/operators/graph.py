@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import import_tokens, module_stem, path_stem
 from chunkloom.schemas import EDGE_CAP, MIN_SYMBOL_LENGTH, NEIGHBOUR_CAP
-from chunkloom.session import cut
+from chunkloom.session import cut, is_small, sized_broadcast, spread
 
 # Word and separator pieces, in a form Java and RE2 read alike.
 WORD = r"[\p{L}\p{N}_]+"
@@ -33,13 +33,21 @@ def _names(chunks: DataFrame) -> DataFrame:
 
 
 def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text."""
-    words = chunks.select("repository_id", "chunk_id", F.posexplode(pieces("content")).alias("pos", "name"))
-    words = words.filter(F.col("name").rlike(WORD)).groupBy("repository_id", "chunk_id", "name").agg(
-        F.min("pos").alias("first"), F.collect_list("pos").alias("positions")
+    """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text.
+
+    Names that measure small are broadcast and drop other words before anything is shuffled; else
+    the words of each chunk are collapsed first and then meet the names.
+    """
+    words = spread(chunks.select("repository_id", "chunk_id", "content")).select(
+        "repository_id", "chunk_id", F.posexplode(pieces("content")).alias("pos", "name")
     )
     single = names.filter("n_pieces = 1").select("repository_id", "name", "n_targets")
-    return words.join(single, ["repository_id", "name"])
+    kept = ["repository_id", "chunk_id", "name"]
+    positions = [F.min("pos").alias("first"), F.collect_list("pos").alias("positions")]
+    if is_small(single):
+        return words.join(F.broadcast(single), ["repository_id", "name"]).groupBy(*kept, "n_targets").agg(*positions)
+    collapsed = words.filter(F.col("name").rlike(WORD)).groupBy(*kept).agg(*positions)
+    return collapsed.join(single, ["repository_id", "name"])
 
 
 def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -50,13 +58,11 @@ def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """
     several = names.filter("n_pieces > 1")
     opening = lambda p, i: F.array_join(F.slice(p, i, 3), "")
-    openings = several.groupBy("repository_id", opening(F.col("_pieces"), 1).alias("opening")).agg(
+    openings = sized_broadcast(several.groupBy("repository_id", opening(F.col("_pieces"), 1).alias("opening")).agg(
         F.collect_set("n_pieces").alias("lengths")
-    )
-    two = several.filter("n_pieces = 2").groupBy("repository_id", F.col("name").alias("opening")).agg(
-        F.lit(1).alias("_two")
-    )
-    starts = chunks.select("repository_id", "chunk_id", pieces("content").alias("_p")).select(
+    ))
+    two = sized_broadcast(several.filter("n_pieces = 2").select("repository_id", F.col("name").alias("pair")))
+    starts = spread(chunks.select("repository_id", "chunk_id", "content")).select("repository_id", "chunk_id", pieces("content").alias("_p")).select(
         "repository_id", "chunk_id",
         F.explode(
             F.transform("_p", lambda p, i: F.struct(
@@ -67,7 +73,7 @@ def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
         ).alias("s"),
     ).select("repository_id", "chunk_id", "s.*")
     hit3 = starts.join(openings, ["repository_id", "opening"]).select("repository_id", "chunk_id", "pos", "lengths")
-    hit2 = starts.join(two.withColumnRenamed("opening", "pair"), ["repository_id", "pair"]).select(
+    hit2 = starts.join(two, ["repository_id", "pair"]).select(
         "repository_id", "chunk_id", "pos", F.array(F.lit(2)).alias("lengths")
     )
     runs = hit3.unionByName(hit2).select("repository_id", "chunk_id", "pos", F.explode("lengths").alias("n")).distinct()
@@ -117,22 +123,27 @@ def reference_names(chunks: DataFrame) -> DataFrame:
     A name with m mentions and d definitions is m rows here and m x d edges; jobs that only need
     the relation can keep this form and the definitions apart.
     """
-    names = _names(chunks)
-    taken = _phrase_mentions(chunks, names)
-    words = _word_mentions(chunks, names).join(taken, ["repository_id", "chunk_id"], "left")
-    # A word covered by a longer match is no mention of its own. posexplode counts from 0.
-    free = F.filter(
-        "positions",
-        lambda p: ~F.coalesce(F.exists("taken", lambda t: (p + 1 >= t["pos"]) & (p + 1 < t["pos"] + t["n"])), F.lit(False)),
-    )
-    single = words.withColumn(
-        "first", F.when(F.col("taken").isNull(), F.col("first") + 1).otherwise(F.array_min(free) + 1)
-    ).filter(F.col("first").isNotNull()).select("repository_id", "chunk_id", "name", "first", "n_targets")
-    phrases = taken.select("repository_id", "chunk_id", F.explode("taken").alias("t")).groupBy(
-        "repository_id", "chunk_id", F.col("t.name").alias("name")
-    ).agg(F.min("t.pos").alias("first"), F.max("t.n_targets").alias("n_targets"))
+    names = cut(_names(chunks))
+    columns = ["repository_id", "chunk_id", "name", "first", "n_targets"]
+    words = _word_mentions(chunks, names)
+    if names.filter("n_pieces > 1").isEmpty():
+        mentions = words.select(*columns)
+    else:
+        taken = cut(_phrase_mentions(chunks, names))
+        # A word covered by a longer match is no mention of its own. posexplode counts from 0.
+        free = F.filter(
+            "positions",
+            lambda p: ~F.coalesce(F.exists("taken", lambda t: (p + 1 >= t["pos"]) & (p + 1 < t["pos"] + t["n"])), F.lit(False)),
+        )
+        single = words.join(taken, ["repository_id", "chunk_id"], "left").withColumn(
+            "first", F.when(F.col("taken").isNull(), F.col("first") + 1).otherwise(F.array_min(free) + 1)
+        ).filter(F.col("first").isNotNull()).select(*columns)
+        phrases = taken.select("repository_id", "chunk_id", F.explode("taken").alias("t")).groupBy(
+            "repository_id", "chunk_id", F.col("t.name").alias("name")
+        ).agg(F.min("t.pos").alias("first"), F.max("t.n_targets").alias("n_targets"))
+        mentions = single.unionByName(phrases)
     own = chunks.filter(F.col("symbol").isNotNull()).select("repository_id", "chunk_id", F.col("symbol").alias("name"))
-    mentions = single.unionByName(phrases).join(own, ["repository_id", "chunk_id", "name"], "left_anti")
+    mentions = mentions.join(own, ["repository_id", "chunk_id", "name"], "left_anti")
     return _capped(mentions, ["repository_id", "chunk_id"], EDGE_CAP).select("repository_id", "chunk_id", "name")
 
 
@@ -220,7 +231,3 @@ def build(chunks: DataFrame, files: DataFrame | None, existing: DataFrame | None
     rebuilt = chunks.select("repository_id").distinct()
     return existing.join(rebuilt, "repository_id", "left_anti").unionByName(made)
 
-
-def staged(edges: DataFrame) -> DataFrame:
-    """Edges written once to reliable storage, for callers that read them several times."""
-    return cut(edges)

@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.operators import embed as embedding
 from chunkloom.operators import incremental, snapshot
+from chunkloom.functions import detect_language
 from chunkloom.operators.chunking import chunk_corpus
-from chunkloom.session import cut, sized_broadcast
+from chunkloom.session import BROADCAST_BYTES, cut
 from chunkloom.schemas import CHUNKS, INDEXED_FILES, MAX_FILE_BYTES, VECTORS
 
 
+# Bound of one row of the broadcast action table (two hashes and a path).
+ROW_BYTES = 1_200
+
+
 @dataclass
 class Corpus:
     """Indexed state: files, chunks and (optionally) vectors."""
@@ -42,38 +47,39 @@ def apply_decisions(
 ) -> IndexResult:
     """Carry out decided actions. Only files to (re-)index are chunked and only new content embedded."""
     decisions = incremental.settle_ids(decisions, prior.files)
+    # Everything but the texts is needed several times: keep it in a narrow stored table. The texts
+    # are read once, by the chunkers.
+    decided = cut(decisions.drop("text"))
+    acts = F.col("action").isin("delete", "reindex", "patch")
+    small = decided.filter(acts).count() * ROW_BYTES <= BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda df: df)
+    acted = hint(
+        decided.filter(acts).select("file_id", F.col("action").alias("_action"), F.when(F.col("action") == "patch", F.col("path")).alias("_new_path"))
+    )
     work = decisions.filter(F.col("action").isin("index", "reindex")).select(
         "repository_id", "file_id", F.col("path").alias("file_path"), "language", "text"
     )
     produced = chunk_corpus(work, with_imports)
-    dropped = decisions.filter(F.col("action") == "delete").select("file_id")
-    reindexed = decisions.filter(F.col("action") == "reindex").select("file_id")
-    moved = decisions.filter(F.col("action") == "patch").select("file_id", F.col("path").alias("new_path"))
-
-    reindexed_small = sized_broadcast(reindexed.distinct())
-    dropped_small = sized_broadcast(dropped.distinct())
-    touched = sized_broadcast(dropped.unionByName(reindexed).distinct())
 
-    existing = prior.chunks.join(reindexed_small, "file_id", "left_semi")
-    chunk_ops = incremental.merge_chunks(existing, produced)
+    columns = prior.chunks.columns
+    tagged = prior.chunks.join(acted, "file_id", "left")
+    chunk_ops = incremental.merge_chunks(tagged.filter("_action = 'reindex'").select(*columns), produced)
     if embed is not None:
         # Read by the embedding aggregate, its join back and the chunk table: parse once.
         chunk_ops = cut(chunk_ops)
-    removed_chunks = prior.chunks.join(dropped_small, "file_id", "left_semi")
-
-    columns = [f for f in prior.chunks.columns]
-    untouched = incremental.apply_renames(prior.chunks.join(touched, "file_id", "left_anti"), moved)
+    removed_chunks = tagged.filter("_action = 'delete'").select(*columns)
+    untouched = (
+        tagged.filter("_action IS NULL OR _action = 'patch'")
+        .withColumn("file_path", F.coalesce("_new_path", "file_path")).select(*columns)
+    )
     chunks = untouched.unionByName(chunk_ops.filter(F.col("op") != "delete").select(*columns))
 
     file_columns = prior.files.columns
-    kept = prior.files.join(touched, "file_id", "left_anti").join(
-        sized_broadcast(moved), "file_id", "left"
-    )
-    kept = kept.withColumn("language", F.when(F.col("new_path").isNotNull(), incremental.detect_language("new_path")).otherwise(F.col("language")))
-    kept = kept.withColumn("path", F.coalesce("new_path", "path")).select(*file_columns)
-    files = kept.unionByName(
-        decisions.filter(F.col("action").isin("index", "reindex")).select(*file_columns)
-    )
+    kept = prior.files.join(acted, "file_id", "left").filter("_action IS NULL OR _action = 'patch'")
+    kept = kept.withColumn(
+        "language", F.when(F.col("_new_path").isNotNull(), detect_language("_new_path")).otherwise(F.col("language"))
+    ).withColumn("path", F.coalesce("_new_path", "path")).select(*file_columns)
+    files = kept.unionByName(decided.filter(F.col("action").isin("index", "reindex")).select(*file_columns))
 
     vectors = prior.vectors
     if embed is not None:
@@ -82,18 +88,17 @@ def apply_decisions(
         fresh = embedding.embed_new(new, prior.vectors, embed)
         vectors = fresh if prior.vectors is None else prior.vectors.join(gone, "chunk_id", "left_anti").unionByName(fresh)
 
-    stats = incremental.stats(decisions, chunk_ops, removed_chunks)
-    return IndexResult(Corpus(files, chunks, vectors), stats, chunk_ops, decisions)
+    stats = incremental.stats(decided, chunk_ops, removed_chunks)
+    return IndexResult(Corpus(files, chunks, vectors), stats, chunk_ops, decided)
 
 
 def full_index(
     files: DataFrame, prior: Corpus, embed: Callable[[Column], Column] | None = None,
-    max_bytes: int = MAX_FILE_BYTES, with_imports: bool = False, staged: bool = False,
+    max_bytes: int = MAX_FILE_BYTES, with_imports: bool = False,
 ) -> IndexResult:
     """Index a whole snapshot against the prior state (empty for a first run).
 
     Unchanged files are not parsed again. A file that is gone, or can no longer be read, is removed.
-    ``staged`` writes the decisions to reliable storage once, for callers that use several outputs.
     """
     ready = incremental.readable(files, max_bytes)
     known = prior.files.select("repository_id", "path", F.col("file_id").alias("cur_id"), F.col("content_hash").alias("cur_hash"))
@@ -118,19 +123,15 @@ def full_index(
         flag("index").alias("added"), flag("reindex").alias("modified"), F.lit(0).alias("renamed"),
         flag("delete").alias("deleted"), F.lit(0).alias("skipped"),
     )
-    if staged:
-        decisions = cut(decisions)
     return apply_decisions(decisions, prior, embed, with_imports)
 
 
 def incremental_index(
     diff: DataFrame, blobs: DataFrame, prior: Corpus, embed: Callable[[Column], Column] | None = None,
-    max_bytes: int = MAX_FILE_BYTES, with_imports: bool = False, staged: bool = False,
+    max_bytes: int = MAX_FILE_BYTES, with_imports: bool = False,
 ) -> IndexResult:
     """Apply diff entries (repository_id, status, path, old_path) with the new bytes of their files."""
     decisions = incremental.decide(diff, prior.files, blobs, max_bytes)
-    if staged:
-        decisions = cut(decisions)
     return apply_decisions(decisions, prior, embed, with_imports)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -63,13 +64,27 @@ def shared_folder(spark: SparkSession) -> str:
     return created
 
 
+def spread(df: DataFrame, bytes_per_core: int = 16 * 1024 * 1024) -> DataFrame:
+    """Use every core for a small input that was read as few partitions; a large one is left alone.
+
+    The size is the optimizer's estimate, so nothing runs. Meant before row-wise heavy work, where a
+    single small file would otherwise be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that several consumers share one computation."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and read it back, so several consumers share the work.
+
+    A table instead of an RDD checkpoint: it is computed once, is columnar, and later reads prune
+    columns and push filters. It survives the loss of any executor. Old tables are removed by
+    whoever owns the folder.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _width(name: str, kind: T.DataType):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.operators import deliveries as ops
-from chunkloom.plans.index import Corpus, diff_of, full_index, incremental_index
+from chunkloom.plans.index import Corpus, diff_of, incremental_index
 from chunkloom.schemas import CHUNKS, INDEXED_FILES
 from chunkloom.session import cut
 from chunkloom.sources.tables import TableStore
@@ -37,7 +37,7 @@ def apply_pushes(
     wanted = cut(
         pushes.join(before, "repository_id", "left")
         .filter(F.col("last_indexed_commit").isNull() | (F.col("last_indexed_commit") != F.col("after")))
-        .select("repository_id", "after", F.col("last_indexed_commit").isNull().alias("is_new"))
+        .select("repository_id", "after")
     )
     buckets = store.touched_buckets(wanted)
     version = batch_id + 1
@@ -46,20 +46,16 @@ def apply_pushes(
         in_scope = lambda df: df.join(wanted.select("repository_id"), "repository_id", "left_semi")
         current = Corpus(store.read("files", buckets=buckets), store.read("chunks", buckets=buckets))
         prior = Corpus(in_scope(current.files), in_scope(current.chunks))
-        fresh = wanted.filter("is_new").select("repository_id")
-        of = lambda df, how: df.join(fresh, "repository_id", how)
-        first = full_index(of(files, "left_semi"), Corpus(of(prior.files, "left_semi"), of(prior.chunks, "left_semi")), embed)
-        known = Corpus(of(prior.files, "left_anti"), of(prior.chunks, "left_anti"))
-        later_files = of(files, "left_anti")
-        later = incremental_index(diff_of(known.files, later_files), later_files, known, embed)
+        # A repository without a stored commit has no prior files, so its diff adds every file.
+        result = incremental_index(diff_of(prior.files, files), files, prior, embed).corpus
         out_of_scope = lambda df: df.join(wanted.select("repository_id"), "repository_id", "left_anti")
         chunk_columns = [c.split()[0] for c in CHUNKS.split(", ")]
         file_columns = [c.split()[0] for c in INDEXED_FILES.split(", ")]
         store.commit(
             version,
             {
-                "files": first.corpus.files.unionByName(later.corpus.files).unionByName(out_of_scope(current.files)).select(*file_columns),
-                "chunks": first.corpus.chunks.unionByName(later.corpus.chunks).unionByName(out_of_scope(current.chunks)).select(*chunk_columns),
+                "files": result.files.unionByName(out_of_scope(current.files)).select(*file_columns),
+                "chunks": result.chunks.unionByName(out_of_scope(current.chunks)).select(*chunk_columns),
             },
             touched=buckets,
         )

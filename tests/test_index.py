@@ -36,7 +36,7 @@ def test_incremental_equals_full(spark):
     first = settle(full_index(files(spark, A), empty_corpus(spark), fn).corpus)
     assert first.chunks.count() == 4 and first.vectors.count() == 4
     diff = diff_of(first.files, files(spark, B))
-    result = incremental_index(diff, files(spark, B), first, fn, staged=True)
+    result = incremental_index(diff, files(spark, B), first, fn)
     stats = result.stats.collect()[0].asDict()
     assert {k: stats[k] for k in ("files_discovered", "files_added", "files_modified", "files_deleted", "files_renamed")} == {
         "files_discovered": 4, "files_added": 1, "files_modified": 1, "files_deleted": 1, "files_renamed": 1}
