@@ -42,17 +42,21 @@ def postings(chunks: DataFrame) -> DataFrame:
     tokens = spread(chunks.select("repository_id", "chunk_id", "content")).select(
         "repository_id", "chunk_id", tokenize("content").alias("tokens")
     )
+    # The length is taken before the explode: read after it, it would carry the token array on every
+    # row. The outer form keeps the optimizer from tokenizing again to test for empty arrays.
+    sized = tokens.select("repository_id", "chunk_id", F.size("tokens").alias("doc_len"), "tokens")
     return (
-        tokens.select("repository_id", "chunk_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
+        sized.select("repository_id", "chunk_id", "doc_len", F.explode_outer("tokens").alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("repository_id", "chunk_id", "token", "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def build_index(chunks: DataFrame) -> Bm25Index:
-    """Tokenize once: postings are written to reliable storage and everything else is read from them."""
+    """The three tables, each written once to the shared folder and read from there."""
     posted = cut(postings(chunks))
-    terms = posted.groupBy("repository_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    terms = cut(posted.groupBy("repository_id", "token").agg(F.count(F.lit(1)).alias("df")))
     n_tokens = posted.groupBy("repository_id").agg(F.sum("tf").alias("n_tokens"))
     # Chunks without tokens count as documents too.
     sizes = chunks.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_docs")).join(
@@ -68,7 +72,7 @@ def build_index(chunks: DataFrame) -> Bm25Index:
     stats = sizes.join(mean_idf, "repository_id", "left").select(
         "repository_id", "n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.col("n_docs")).alias("avg_len"), "avg_idf"
     )
-    return Bm25Index(posted, terms, stats)
+    return Bm25Index(posted, terms, cut(stats))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

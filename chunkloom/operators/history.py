@@ -30,22 +30,27 @@ def usable_terms(queries: DataFrame, limit: int = HISTORY_QUERIES) -> DataFrame:
 
 def matches(terms: DataFrame, texts: DataFrame, fields: list[str], regex: bool = False, small_bytes: int = TERM_BYTES) -> DataFrame:
     """(term row, text row) pairs where any of ``fields`` contains the term."""
+    # Lower-cased once per text, below the join.
+    low = [f"_low_{f}" for f in fields]
+    texts = texts.select("*", *[F.coalesce(F.lower(f), F.lit("")).alias(l) for f, l in zip(fields, low)])
+
     def hit() -> Column:
         test = F.lit(False)
-        for f in fields:
-            low = F.coalesce(F.lower(f), F.lit(""))
-            test = test | (F.rlike(low, F.col("term")) if regex else F.contains(low, F.col("term")))
+        for l in low:
+            test = test | (F.rlike(l, F.col("term")) if regex else F.contains(l, F.col("term")))
         return test
 
-    if regex or is_small(terms, small_bytes):
-        side = F.broadcast(terms) if is_small(terms, small_bytes) else terms
-        return texts.join(side, "repository_id").filter(hit())
+    small = is_small(terms, small_bytes)
+    if regex or small:
+        return texts.join(F.broadcast(terms) if small else terms, "repository_id").filter(hit()).drop(*low)
     keyed = terms.withColumn("_gram", F.substring("term", 1, 3))
     grams = lambda f: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(f) - 2, F.lit(1))), lambda i: F.substring(F.lower(F.col(f)), i, F.lit(3))
+        F.sequence(F.lit(1), F.greatest(F.length(f) - 2, F.lit(1))), lambda i: F.substring(F.col(f), i, F.lit(3))
+    )
+    every = F.array_distinct(F.concat(*[grams(l) for l in low]))
+    return (
+        texts.withColumn("_gram", F.explode(every)).join(keyed, ["repository_id", "_gram"]).filter(hit()).drop("_gram", *low)
     )
-    every = F.array_distinct(F.concat(*[F.coalesce(grams(f), F.array().cast("array<string>")) for f in fields]))
-    return texts.withColumn("_gram", F.explode(every)).join(keyed, ["repository_id", "_gram"]).filter(hit()).drop("_gram")
 
 
 def related_issues(queries: DataFrame, issues: DataFrame, k: int = PLANNING_ISSUES) -> DataFrame:
