@@ -9,6 +9,7 @@ from chunkloom.plans.planning import default_plans, default_queries as default_q
 from chunkloom.plans.retrieval import hybrid_search
 from chunkloom.operators import bm25
 from chunkloom.schemas import PLAN
+from chunkloom.session import cut
 
 
 def first_line(column="text"):
@@ -157,7 +158,7 @@ def contexts_of(spark, folder):
         F.lit(None).cast("string").alias("desired_behavior"), F.array(F.lit("a"), F.lit("b")).alias("requirements"),
     )
     return planning_context(
-        runs, queries, docs, doc_vectors(spark, folder), graph.reference_edges(docs), doc_issues(spark, folder), doc_commits(spark, folder)
+        runs, queries, docs, doc_vectors(spark, folder), cut(graph.reference_edges(docs)), doc_issues(spark, folder), doc_commits(spark, folder)
     )
 
 

@@ -36,7 +36,12 @@ def dedup(deliveries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     rest = [f for f in fields if f != "received_at"]
     first = deliveries.groupBy("delivery_id").agg(F.min(F.struct("received_at", *rest)).alias("_row"))
     unique = first.select("delivery_id", *[F.col(f"_row.{f}").alias(f) for f in fields]).select(*deliveries.columns)
-    return unique if stored is None else unique.join(stored.select("delivery_id"), "delivery_id", "left_anti")
+    if stored is None:
+        return unique
+    # The stored ids outgrow any batch: reduce them to the batch's own ids where they are read.
+    asked = sized_broadcast(deliveries.select("delivery_id").distinct())
+    seen = stored.select("delivery_id").join(asked, "delivery_id", "left_semi")
+    return unique.join(seen, "delivery_id", "left_anti")
 
 
 def parse(deliveries: DataFrame) -> DataFrame:

@@ -196,7 +196,8 @@ def stats(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, k: int = NEIGHBOUR_CAP) -> DataFrame:
     """One-hop neighbours of each seed set in either direction, at most ``k``, seeds left out.
 
-    ``seeds``: set_id, repository_id, chunk_id. Neighbours are collapsed before they are ranked, and
+    ``seeds``: set_id, repository_id, chunk_id; ``edges`` is read twice, so pass a stored table.
+    Neighbours are collapsed before they are ranked, and
     the order (edge type, chunk id) makes the cut deterministic.
     """
     seed = seeds.select("set_id", "repository_id", "chunk_id").distinct()

@@ -136,7 +136,10 @@ def incremental_index(
 
 
 def diff_of(prior_files: DataFrame, files: DataFrame) -> DataFrame:
-    """Diff entries of a new snapshot against the indexed files, with exact renames paired."""
+    """Diff entries of a new snapshot against the indexed files, with exact renames paired.
+
+    The differing paths (hashes only, no content) are stored once: pairing reads them five times.
+    """
     new = files.select("repository_id", "path", F.sha2("content", 256).alias("content_hash"))
-    changes = snapshot.diff(prior_files, new)
+    changes = cut(snapshot.diff(prior_files, new).filter(F.col("status") != "unchanged"))
     return snapshot.name_status(changes, snapshot.pair_renames(changes))

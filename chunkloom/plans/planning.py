@@ -8,6 +8,7 @@ from chunkloom.functions import NONBLANK
 from chunkloom.operators import context, evaluation, graph, history, validation
 from chunkloom.operators.chunking import with_lines
 from chunkloom.plans.retrieval import hybrid_search
+from chunkloom.session import cut
 from chunkloom.schemas import PLAN, PLANNING_CHUNKS, PLANNING_TOP_K
 
 
@@ -58,9 +59,9 @@ def planning_context(
     ``runs`` as in :func:`context.render_context`; ``queries`` as in :func:`retrieve` plus
     issue_number.
     """
-    retrieved = retrieve(queries, chunks, vectors, **options)
+    retrieved = cut(retrieve(queries, chunks, vectors, **options))  # 15 rows a run, read three times
     seeds = retrieved.select(F.col("run_id").alias("set_id"), "repository_id", "chunk_id")
-    related = graph.neighbours(seeds, edges, chunks).withColumnRenamed("set_id", "run_id")
+    related = cut(graph.neighbours(seeds, edges, chunks).withColumnRenamed("set_id", "run_id"))
     past = history.related_issues(queries, issues)
     log = history.related_commits(queries, commits)
     rendered = context.render_context(runs, retrieved, related, past, log)
