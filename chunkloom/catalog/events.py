@@ -424,7 +424,10 @@ def delivery_ingest(spark, folder):
     return spark.read.parquet(f"{root}/deliveries").select("delivery_id", "status", "outcome", "repository_id")
 
 
-@register("stream_incremental", FINAL_CHUNKS)
+@register(
+    "stream_incremental",
+    FINAL_CHUNKS + " WHERE repository_id IN (SELECT 'src' || (user_id % 20) FROM events)",
+)
 def stream_incremental(spark, folder):
     """Every event pushes its repository, first to the old snapshot, then to the new one."""
     root = scratch(spark)
