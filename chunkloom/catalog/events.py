@@ -1,6 +1,6 @@
 """Delivery, issue, progress and run queries over the events table."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,13 +19,8 @@ SECRET = "shared secret"
 
 
 def scratch(spark):
-    """A fresh folder below the shared one for a stream's output."""
-    base = shared_folder(spark)
-    if "://" in base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir=base)
+    """A fresh folder below the shared one for a stream's output, on whatever file system that is."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
 def events_batch(spark, folder):
