@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import neardup, quality
+from chunkloom.llm import decontam, lm, mixing, neardup, pii, quality, secrets, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +30,60 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 SPACE_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
+@register("op1_warc")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every crawled page."""
+    return warc.derivatives(warc.responses_of(table(spark, folder, "pages")), ["page_id"])
+
+
+ALNUM_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op2_decontam", f"""
+WITH texts AS (SELECT doc_id, {ALNUM_WORDS.format(LOWER.format('coalesce(text, $$$$)'))} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {ALNUM_WORDS.format(LOWER.format('text'))} AS w FROM benchmark),
+sizes AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sizes)),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM texts, lengths WHERE len(w) >= n)),
+met AS (SELECT doc_id, i, n, item FROM grams JOIN windows USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM met GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN named m USING (doc_id)""")
+def op2_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in passages of benchmark items."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("item"), "text")
+    found = decontam.contamination(table(spark, folder, "documents"), items)
+    return found.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
+
+
+# Fixed rules of the URL query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@register("op3_urlfilter", """
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(h, p, v) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + """),
+fits AS (
+  SELECT DISTINCT host, path, h || p AS rule, v FROM (SELECT DISTINCT host, path FROM parts), rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+best AS (SELECT *, row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule DESC) AS k FROM fits QUALIFY k = 1)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.v, 'allow') AS verdict FROM parts p LEFT JOIN best b USING (host, path)""")
+def op3_urlfilter(spark: SparkSession, folder: str) -> DataFrame:
+    """Winning rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, folder, "pages"), rules)
+
+
 @register("op4_neardup", f"""
 WITH RECURSIVE texts AS (SELECT doc_id, {SPACE_WORDS.format(LOWER.format('coalesce(text, $$$$)'))} AS w FROM documents),
 sets AS (
@@ -55,9 +108,49 @@ def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+@register("op5_lm")
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model score of every document."""
+    return lm.score(table(spark, folder, "documents"))
+
+
+@register("op6_mixing")
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words the mix takes from every document."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@register("op7_secrets")
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, folder, "documents"), ["doc_id"])
+
+
 @register("op8_quality")
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base measures, log-likelihood ratio and verdict of every document."""
     docs = table(spark, folder, "documents")
     trusted = quality.trusted_ids(table(spark, folder, "labels"))
     return quality.measure(docs, quality.fit(docs, trusted), trusted, ["doc_id"])
+
+
+@register("op9_pii")
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for personal data."""
+    return pii.anonymise(table(spark, folder, "documents"), ["doc_id"])
+
+
+@register("op10_tokens")
+def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count of every document."""
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
