@@ -57,7 +57,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
         .withColumn("open", F.sum("weight").over(everything) - F.sum("weight").over(filling) + F.col("weight"))
         .withColumn("level", (F.col("wanted") - F.col("full")) / F.col("open"))
     )
-    reached = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    # Levels after the first reached one treat a source as full that isn't, and are lower.
+    reached = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return leveled.withColumn("target", F.least("cap", F.col("weight") * reached).cast("double")).select("key", "source_size", "target")
 
 

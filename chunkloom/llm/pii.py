@@ -223,8 +223,7 @@ def replace(docs: DataFrame, secret: str = "surrogates") -> DataFrame:
 def anonymise(docs: DataFrame, keep: list[str], secret: str = "surrogates") -> DataFrame:
     """``keep`` columns and text of every row after replacement, with the number of entities of each kind."""
     done = replace(docs.select(*{c: docs[f"`{c}`"] for c in ["doc_id", *keep, "text"]}.values()), secret)
-    kinds = F.transform("_found", kind_of)
-    return done.withColumn("_kinds", kinds).select(
-        *[F.col(f"`{c}`") for c in keep], "text", F.size("_found").cast("long").alias("n_entities"),
-        *[F.size(F.filter("_kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS],
+    counted = [F.expr(f"size(filter(_kinds, k -> k = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return done.withColumn("_kinds", F.transform("_found", kind_of)).select(
+        *[F.col(f"`{c}`") for c in keep], "text", F.size("_found").cast("long").alias("n_entities"), *counted
     )
