@@ -156,6 +156,7 @@ class Segment:
             return rows
         rows = rows[self.ordinals(rows[:, 0]) == self.ordinals(rows[:, 1] - 1)]
         # A stretch that holds another one isn't among the smallest.
+        rows = rows[np.diff(rows[:, 0], prepend=-1) > 0]
         inner = np.minimum.accumulate(np.append(rows[1:, 1], np.iinfo(np.int64).max)[::-1])[::-1]
         return rows[inner > rows[:, 1]]
 

@@ -155,7 +155,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     ]
     lines = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}: "), F.col(c), F.lit("\r\n"))) for n, c in fields]
     head = F.concat(F.lit(VERSION.decode()), F.concat_ws("", *lines), F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    records.select(F.concat(head, F.decode("block", F.lit("UTF-8"))).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(F.concat(head, F.decode("block", "UTF-8")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def _parsed(batches):
