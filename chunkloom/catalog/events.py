@@ -13,7 +13,7 @@ from chunkloom.sources.issue_feed import parse_issue_feed
 from chunkloom.streaming import deliveries as stream_deliveries
 from chunkloom.streaming import index as stream_index
 from chunkloom.streaming import progress as stream_progress
-from chunkloom.streaming.state import BatchState
+from chunkloom.streaming.state import BatchNumbers, BatchState
 
 SECRET = "shared secret"
 
@@ -428,16 +428,17 @@ def stream_incremental(spark, folder):
     root = scratch(spark)
     store = stream_index.store_of(spark, root)
     state = BatchState(spark, f"{root}/state", stream_index.INDEX_STATE)
+    numbers = BatchNumbers(spark, root, state.batches)
     trees = {"c0": old_files(spark, folder), "c1": new_files(spark, folder).filter(incremental.is_safe_relative_path("path"))}
-    for number, (commit, tree) in enumerate(trees.items()):
+    for commit, tree in trees.items():
         pushes = events_stream(spark, folder).select(
             F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("repository_id"), "ts"
         ).withColumn("after", F.lit(commit))
 
-        def handle(batch, batch_id, number=number, tree=tree):
+        def handle(batch, batch_id, commit=commit, tree=tree):
             newest = batch.groupBy("repository_id").agg(F.max_by("after", "ts").alias("after"))
             in_scope = lambda wanted: tree.join(wanted.select("repository_id"), "repository_id", "left_semi")
-            stream_index.apply_pushes(newest, in_scope, store, state, 1000 * number + batch_id)
+            stream_index.apply_pushes(newest, in_scope, store, state, numbers.number(batch_id, commit))
 
         stream_deliveries.each_batch(pushes, handle, f"{root}/checkpoint-{commit}").awaitTermination()
     return store.read("chunks").select(CHUNK_OUT)

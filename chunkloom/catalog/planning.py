@@ -118,6 +118,30 @@ def related_commits(spark, folder):
     return history.related_commits(word_queries(spark, folder), doc_commits(spark, folder)).select("run_id", "sha", "subject", "rank")
 
 
+@register(
+    "related_issues_uncut",
+    "WITH" + WORD_QUERIES.replace("query_no <= 5 AND ", "") + "," + ISSUE_SQL.replace(" QUALIFY r <= 5", "").replace(" QUALIFY rank <= 5", "")
+    + " SELECT run_id, number, title, html_url, rank FROM past",
+)
+def related_issues_uncut(spark, folder):
+    """Every word of a text as a query, every issue kept, terms met by their trigrams."""
+    found = history.related_issues(word_queries(spark, folder), doc_issues(spark, folder), k=None, max_queries=None, small_bytes=0)
+    return found.select("run_id", "number", "title", "html_url", "rank")
+
+
+@register(
+    "related_commits_regex",
+    "WITH" + WORD_QUERIES.replace("lower(trim(query)) AS term", r"trim(query) || '\W' AS term").replace("length(trim(query)) >= 3", "length(trim(query)) >= 1") + ","
+    + COMMIT_SQL.replace("contains(lower(c.subject), t.term)", "regexp_matches(c.subject, t.term, 'i')").replace(
+        "contains(lower(c.message), t.term)", "regexp_matches(c.message, t.term, 'i')")
+    + " SELECT run_id, sha, subject, rank FROM log",
+)
+def related_commits_regex(spark, folder):
+    """Words as patterns that end before a character that is part of no word; case is ignored, the class keeps its meaning."""
+    asked = word_queries(spark, folder).withColumn("query", F.concat("query", F.lit(r"\W")))
+    return history.related_commits(asked, doc_commits(spark, folder), regex=True).select("run_id", "sha", "subject", "rank")
+
+
 CONTEXT = (
     hybrid_ctes(8) + "," + BEST + "," + EDGES + """,
 seeds AS (SELECT run_id AS set_id, repository_id, chunk_id FROM retrieved),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import tokenize
 from chunkloom.schemas import BM25_CANDIDATES
-from chunkloom.session import BROADCAST_BYTES, cut, is_small, spread
+from chunkloom.session import cut, spread
 
 # Fixed values.
 K1 = 1.5
@@ -96,14 +96,11 @@ def query_terms(tokens: DataFrame, index: Bm25Index) -> DataFrame:
 def scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
     """Positive scores of every (query, chunk) that share a token.
 
-    When the query tokens measure small, they and their weights (at most one row per token) are
-    broadcast, and the postings are filtered where they are read. Otherwise both sides meet in a
-    shuffle, where adaptive execution splits the posting list of a common token.
+    The weighted query tokens are stored once, so their join with the postings is planned by their true size: a small
+    batch filters the postings where they are read, a large one meets them in a shuffle, where adaptive execution
+    splits the posting list of a common token.
     """
-    tokens = query_tokens(queries)
-    small = is_small(tokens, BROADCAST_BYTES // 4)
-    hint = F.broadcast if small else (lambda df: df)
-    terms = hint(query_terms(hint(tokens), index))
+    terms = cut(query_terms(query_tokens(queries), index))
     weight = (
         F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))

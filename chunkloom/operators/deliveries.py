@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions import branch_of, signature_valid
 from chunkloom.schemas import PUSH
-from chunkloom.session import sized_broadcast
 
 # Supported events and outcomes.
 SUPPORTED_EVENTS = ("push",)
@@ -39,7 +38,7 @@ def dedup(deliveries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     if stored is None:
         return unique
     # The stored ids outgrow any batch: reduce them to the batch's own ids where they are read.
-    asked = sized_broadcast(deliveries.select("delivery_id").distinct())
+    asked = deliveries.select("delivery_id").distinct()
     seen = stored.select("delivery_id").join(asked, "delivery_id", "left_semi")
     return unique.join(seen, "delivery_id", "left_anti")
 
@@ -70,11 +69,11 @@ def match_repository(pushes: DataFrame, repositories: DataFrame) -> DataFrame:
 
     Works on a stream: both sides of the lookup are static and the joins are left joins.
     """
-    by_id = sized_broadcast(
+    by_id = (
         repositories.filter(F.col("github_repo_id").isNotNull()).select(
             "github_repo_id", F.struct("repository_id", "default_branch").alias("_by_id"))
     )
-    by_name = sized_broadcast(
+    by_name = (
         repositories.filter(F.col("full_name").isNotNull()).groupBy(F.lower("full_name").alias("_name")).agg(
             F.min(F.struct("repository_id", "default_branch")).alias("_by_name"))
     )
@@ -114,7 +113,7 @@ def outcomes_in_order(matched: DataFrame) -> DataFrame:
         & (branch_of("ref") == F.col("payload_branch"))
     )
     at = F.struct("received_at", "delivery_id")
-    first = sized_broadcast(
+    first = (
         matched.filter(opens).groupBy("repository_id").agg(F.min(F.struct("received_at", "delivery_id", "payload_branch")).alias("_first"))
     )
     learned = F.when(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import import_tokens, module_stem, path_stem
 from chunkloom.schemas import EDGE_CAP, MIN_SYMBOL_LENGTH, NEIGHBOUR_CAP
-from chunkloom.session import cut, is_small, sized_broadcast, spread
+from chunkloom.session import cut, spread
 
 # Word and separator pieces, in a form Java and RE2 read alike.
 WORD = r"[\p{L}\p{N}_]+"
@@ -35,8 +35,8 @@ def _names(chunks: DataFrame) -> DataFrame:
 def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text.
 
-    Names that measure small are broadcast and drop other words before anything is shuffled; else
-    the words of each chunk are collapsed first and then meet the names.
+    Names are a stored table, so the join is planned by its size: few names drop all other words before anything is
+    shuffled.
     """
     words = spread(chunks.select("repository_id", "chunk_id", "content")).select(
         "repository_id", "chunk_id", F.posexplode(pieces("content")).alias("pos", "name")
@@ -44,10 +44,7 @@ def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     single = names.filter("n_pieces = 1").select("repository_id", "name", "n_targets")
     kept = ["repository_id", "chunk_id", "name"]
     positions = [F.min("pos").alias("first"), F.collect_list("pos").alias("positions")]
-    if is_small(single):
-        return words.join(F.broadcast(single), ["repository_id", "name"]).groupBy(*kept, "n_targets").agg(*positions)
-    collapsed = words.filter(F.col("name").rlike(WORD)).groupBy(*kept).agg(*positions)
-    return collapsed.join(single, ["repository_id", "name"])
+    return words.join(single, ["repository_id", "name"]).groupBy(*kept, "n_targets").agg(*positions)
 
 
 def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -58,10 +55,10 @@ def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """
     several = names.filter("n_pieces > 1")
     opening = lambda p, i: F.array_join(F.slice(p, i, 3), "")
-    openings = sized_broadcast(several.groupBy("repository_id", opening(F.col("_pieces"), 1).alias("opening")).agg(
+    openings = (several.groupBy("repository_id", opening(F.col("_pieces"), 1).alias("opening")).agg(
         F.collect_set("n_pieces").alias("lengths")
     ))
-    two = sized_broadcast(several.filter("n_pieces = 2").select("repository_id", F.col("name").alias("pair")))
+    two = (several.filter("n_pieces = 2").select("repository_id", F.col("name").alias("pair")))
     starts = spread(chunks.select("repository_id", "chunk_id", "content")).select("repository_id", "chunk_id", pieces("content").alias("_p")).select(
         "repository_id", "chunk_id",
         F.explode(
@@ -107,21 +104,23 @@ def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def _capped(rows: DataFrame, owner: list[str], cap: int) -> DataFrame:
-    """Names in text order until at least ``cap`` targets were taken *before* the next name.
+def _capped(rows: DataFrame, owner: list[str], cap: int | None) -> DataFrame:
+    """Names in text order (all with None) until at least ``cap`` targets were taken *before* the next name.
 
     A name's targets are never split. The window runs inside one chunk.
     """
+    if cap is None:
+        return rows
     before = Window.partitionBy(*owner).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum("n_targets").over(before), F.lit(0))
     return rows.withColumn("_taken", taken).filter(F.col("_taken") < cap).drop("_taken")
 
 
-def reference_names(chunks: DataFrame) -> DataFrame:
+def reference_names(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """Kept mentions (repository_id, chunk_id, name): the edge table before it is multiplied out.
 
-    A name with m mentions and d definitions is m rows here and m x d edges; jobs that only need
-    the relation can keep this form and the definitions apart.
+    Names of a chunk are kept until ``edge_cap`` edges, all with None. A name with m mentions and d definitions is m
+    rows here and m x d edges; jobs that only need the relation can keep this form and the definitions apart.
     """
     names = cut(_names(chunks))
     columns = ["repository_id", "chunk_id", "name", "first", "n_targets"]
@@ -144,22 +143,22 @@ def reference_names(chunks: DataFrame) -> DataFrame:
         mentions = single.unionByName(phrases)
     own = chunks.filter(F.col("symbol").isNotNull()).select("repository_id", "chunk_id", F.col("symbol").alias("name"))
     mentions = mentions.join(own, ["repository_id", "chunk_id", "name"], "left_anti")
-    return _capped(mentions, ["repository_id", "chunk_id"], EDGE_CAP).select("repository_id", "chunk_id", "name")
+    return _capped(mentions, ["repository_id", "chunk_id"], edge_cap).select("repository_id", "chunk_id", "name")
 
 
-def reference_edges(chunks: DataFrame) -> DataFrame:
+def reference_edges(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """``references`` edges from a chunk to every chunk that defines a name it mentions."""
     definitions = chunks.filter(F.length("symbol") >= MIN_SYMBOL_LENGTH).select(
         "repository_id", F.col("symbol").alias("name"), F.col("chunk_id").alias("to_chunk_id")
     )
     return (
-        reference_names(chunks).withColumnRenamed("chunk_id", "from_chunk_id")
+        reference_names(chunks, edge_cap).withColumnRenamed("chunk_id", "from_chunk_id")
         .join(definitions, ["repository_id", "name"])
         .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("references").alias("edge_type"))
     )
 
 
-def import_edges(chunks: DataFrame, files: DataFrame) -> DataFrame:
+def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """``imports`` edges from import chunks to every chunk of a file whose stem is imported."""
     tokens = (
         chunks.filter((F.col("kind") == "import") & (F.length("content") > 0))
@@ -168,7 +167,7 @@ def import_edges(chunks: DataFrame, files: DataFrame) -> DataFrame:
     )
     stems = files.select("repository_id", "file_id", path_stem("path").alias("stem")).filter("stem <> '' AND stem <> '__init__'")
     sizes = stems.groupBy("repository_id", "stem").agg(F.count(F.lit(1)).alias("n_targets"))
-    kept = _capped(tokens.join(sizes, ["repository_id", "stem"]), ["repository_id", "chunk_id"], EDGE_CAP)
+    kept = _capped(tokens.join(sizes, ["repository_id", "stem"]), ["repository_id", "chunk_id"], edge_cap)
     targets = chunks.select("repository_id", "file_id", F.col("chunk_id").alias("to_chunk_id"))
     return (
         kept.select("repository_id", F.col("chunk_id").alias("from_chunk_id"), "stem")
@@ -222,11 +221,11 @@ def neighbours(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = N
     )
 
 
-def build(chunks: DataFrame, files: DataFrame | None, existing: DataFrame | None = None) -> DataFrame:
+def build(chunks: DataFrame, files: DataFrame | None, existing: DataFrame | None = None, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """Full rebuild: the repositories of ``chunks`` lose their old edges, all others keep theirs."""
-    made = reference_edges(chunks)
+    made = reference_edges(chunks, edge_cap)
     if files is not None:
-        made = made.unionByName(import_edges(chunks, files))
+        made = made.unionByName(import_edges(chunks, files, edge_cap))
     if existing is None:
         return made
     rebuilt = chunks.select("repository_id").distinct()

@@ -17,75 +17,88 @@ from chunkloom.session import is_small
 TERM_BYTES = 1024 * 1024
 
 
-def usable_terms(queries: DataFrame, limit: int = HISTORY_QUERIES) -> DataFrame:
-    """The first five queries of a run (by ``query_no``), those whose trimmed text has 3+ characters."""
+def usable_terms(queries: DataFrame, limit: int | None = HISTORY_QUERIES, regex: bool = False) -> DataFrame:
+    """The first ``limit`` queries of a run by ``query_no`` (all with None), those whose trimmed text has 3+ characters.
+
+    Literal terms are lower-cased; patterns stay as they are, since case carries meaning in them.
+    """
     order = Window.partitionBy("run_id").orderBy("query_no")
+    first = queries if limit is None else queries.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
     return (
-        queries.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")
-        .withColumn("term", F.lower(F.trim("query")))
+        first.withColumn("term", F.trim("query") if regex else F.lower(F.trim("query")))
         .filter(F.length("term") >= MIN_TERM_LENGTH)
         .select("run_id", "repository_id", "query_no", "term")
     )
 
 
-def matches(terms: DataFrame, texts: DataFrame, fields: list[str], regex: bool = False, small_bytes: int = TERM_BYTES) -> DataFrame:
-    """(term row, text row) pairs where any of ``fields`` contains the term."""
+def matches(
+    terms: DataFrame, texts: DataFrame, fields: list[str], key: list[str], regex: bool = False, small_bytes: int = TERM_BYTES
+) -> DataFrame:
+    """(term row, text row) pairs where any of ``fields`` contains the term, or with ``regex`` matches it, ignoring case.
+
+    ``key`` names the columns that tell the texts of a repository apart. Patterns have no part to look up, so each
+    text meets all patterns of its repository.
+    """
     # Lower-cased once per text, below the join.
     low = [f"_low_{f}" for f in fields]
-    texts = texts.select("*", *[F.coalesce(F.lower(f), F.lit("")).alias(l) for f, l in zip(fields, low)])
+    shown = [F.coalesce(F.col(f) if regex else F.lower(f), F.lit("")).alias(l) for f, l in zip(fields, low)]
 
     def hit() -> Column:
         test = F.lit(False)
         for l in low:
-            test = test | (F.rlike(l, F.col("term")) if regex else F.contains(l, F.col("term")))
+            test = test | (F.rlike(l, F.concat(F.lit("(?i)"), F.col("term"))) if regex else F.contains(l, F.col("term")))
         return test
 
     small = is_small(terms, small_bytes)
     if regex or small:
-        return texts.join(F.broadcast(terms) if small else terms, "repository_id").filter(hit()).drop(*low)
+        return texts.select("*", *shown).join(F.broadcast(terms) if small else terms, "repository_id").filter(hit()).drop(*low)
+    # Only keys and three characters are shuffled: candidates first, then their texts.
     keyed = terms.withColumn("_gram", F.substring("term", 1, 3))
     grams = lambda f: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(f) - 2, F.lit(1))), lambda i: F.substring(F.col(f), i, F.lit(3))
     )
-    every = F.array_distinct(F.concat(*[grams(l) for l in low]))
-    return (
-        texts.withColumn("_gram", F.explode(every)).join(keyed, ["repository_id", "_gram"]).filter(hit()).drop("_gram", *low)
-    )
+    every = texts.select("repository_id", *key, *shown).select("repository_id", *key, F.explode(F.array_distinct(F.concat(*[grams(l) for l in low]))).alias("_gram"))
+    candidates = every.join(keyed, ["repository_id", "_gram"]).drop("_gram")
+    return texts.select("*", *shown).join(candidates, ["repository_id", *key]).filter(hit()).drop(*low)
 
 
-def related_issues(queries: DataFrame, issues: DataFrame, k: int = PLANNING_ISSUES) -> DataFrame:
-    """At most ``k`` past issues per run: ``k`` lowest numbers per query, in the order first seen.
+def related_issues(
+    queries: DataFrame, issues: DataFrame, k: int | None = PLANNING_ISSUES, max_queries: int | None = HISTORY_QUERIES, small_bytes: int = TERM_BYTES
+) -> DataFrame:
+    """At most ``k`` past issues per run: ``k`` lowest numbers per query, in the order first seen; None is no limit.
 
     ``queries``: run_id, repository_id, issue_number (the run's own issue), query_no, query.
     """
     own = queries.select("run_id", F.col("issue_number").alias("_own")).distinct()
-    found = matches(usable_terms(queries), issues.select("repository_id", "number", "title", "body", "html_url"), ["title", "body"])
+    texts = issues.select("repository_id", "number", "title", "body", "html_url")
+    found = matches(usable_terms(queries, max_queries), texts, ["title", "body"], ["number"], small_bytes=small_bytes)
     found = found.join(own, "run_id").filter(~F.col("number").eqNullSafe(F.col("_own")))
     per_query = Window.partitionBy("run_id", "query_no").orderBy("number")
     first = (
         found.select("run_id", "query_no", "number", "title", "html_url")
-        .withColumn("_r", F.row_number().over(per_query)).filter(F.col("_r") <= k)
+        .withColumn("_r", F.row_number().over(per_query)).filter(F.lit(True) if k is None else F.col("_r") <= k)
         .groupBy("run_id", "number").agg(F.min("query_no").alias("query_no"), F.any_value("title").alias("title"), F.any_value("html_url").alias("html_url"))
     )
     order = Window.partitionBy("run_id").orderBy("query_no", "number")
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.lit(True) if k is None else F.col("rank") <= k)
 
 
 def related_commits(
-    queries: DataFrame, commits: DataFrame, k: int = PLANNING_COMMITS, per_term: int = COMMITS_PER_TERM, regex: bool = False
+    queries: DataFrame, commits: DataFrame, k: int | None = PLANNING_COMMITS, per_term: int | None = COMMITS_PER_TERM, regex: bool = False,
+    max_queries: int | None = HISTORY_QUERIES, small_bytes: int = TERM_BYTES,
 ) -> DataFrame:
-    """At most ``k`` commits per run: the ``per_term`` newest per query, in the order first seen.
+    """At most ``k`` commits per run: the ``per_term`` newest per query, in the order first seen; None is no limit.
 
     ``commits``: repository_id, sha, ts, subject, message.
     """
-    found = matches(usable_terms(queries), commits, ["subject", "message"], regex)
+    found = matches(usable_terms(queries, max_queries, regex), commits, ["subject", "message"], ["sha"], regex, small_bytes)
     newest = Window.partitionBy("run_id", "query_no").orderBy(F.desc("ts"), "sha")
     first = (
         found.select("run_id", "query_no", "sha", "ts", "subject")
-        .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= per_term)
+        .withColumn("_r", F.row_number().over(newest)).filter(F.lit(True) if per_term is None else F.col("_r") <= per_term)
         .groupBy("run_id", "sha").agg(
             F.min(F.struct("query_no", "_r")).alias("_seen"), F.any_value("subject").alias("subject")
         )
     )
     order = Window.partitionBy("run_id").orderBy("_seen", "sha")
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_seen")
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.lit(True) if k is None else F.col("rank") <= k).drop("_seen")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.functions import content_hash, decode_lenient, detect_language, is_safe_relative_path, looks_binary
 from chunkloom.schemas import MAX_FILE_BYTES
-from chunkloom.session import sized_broadcast
 
 
 
@@ -134,7 +133,7 @@ def apply_renames(chunks: DataFrame, renames: DataFrame) -> DataFrame:
 
     ``renames`` has ``file_id, new_path``; it is a diff, so it is broadcast when it measures small.
     """
-    moved = sized_broadcast(renames.select("file_id", "new_path"))
+    moved = renames.select("file_id", "new_path")
     columns = chunks.columns
     return chunks.join(moved, "file_id", "left").withColumn(
         "file_path", F.coalesce("new_path", "file_path")

@@ -55,17 +55,26 @@ def judge(events: DataFrame, state: DataFrame | None = None) -> DataFrame:
     )
 
 
-def latest(judged: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def latest(judged: DataFrame) -> DataFrame:
     """Status per run after the judged events; queued where nothing legal happened."""
-    last = judged.groupBy("run_id").agg(
-        F.max_by(F.when(F.col("legal"), F.col("status")), F.when(F.col("legal"), F.struct("ts", "seq"))).alias("_status"),
-        F.count_if(~F.col("legal")).alias("rejected_events"),
+    return _standing(judged).select("run_id", F.coalesce("status", F.lit("queued")).alias("status"), "rejected_events")
+
+
+def _standing(judged: DataFrame) -> DataFrame:
+    last = F.max(F.when(F.col("legal"), F.struct("ts", "seq", "status")))
+    return judged.groupBy("run_id").agg(last.alias("_last"), F.count_if(~F.col("legal")).alias("rejected_events")).select(
+        "run_id", "_last.status", "rejected_events", "_last.ts", "_last.seq"
     )
-    if state is None:
-        return last.select("run_id", F.coalesce("_status", F.lit("queued")).alias("status"), "rejected_events")
-    return state.select("run_id", F.col("status").alias("_old"), F.col("rejected_events").alias("_r")).join(
-        last, "run_id", "full_outer"
-    ).select(
-        "run_id", F.coalesce("_status", "_old", F.lit("queued")).alias("status"),
-        (F.coalesce("rejected_events", F.lit(0)) + F.coalesce("_r", F.lit(0))).alias("rejected_events"),
+
+
+def advanced(judged: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (run_id, status, rejected_events, ts, seq) after the judged events of a batch.
+
+    An event changes the status only when it is newer, by (ts, seq), than the one that set it; a late event of an
+    earlier time is judged and counted, but doesn't turn the status back.
+    """
+    both = state.select("run_id", F.nullif("status", F.lit("queued")).alias("status"), "rejected_events", "ts", "seq").unionByName(_standing(judged))
+    set_by = F.max(F.when(F.col("status").isNotNull(), F.struct("ts", "seq", "status")))
+    return both.groupBy("run_id").agg(set_by.alias("_last"), F.sum("rejected_events").alias("rejected_events")).select(
+        "run_id", F.coalesce("_last.status", F.lit("queued")).alias("status"), "rejected_events", "_last.ts", "_last.seq"
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chunkloom.session import sized_broadcast
 
 
 def fine_bucket(column: str) -> Column:
@@ -42,15 +41,14 @@ def spread_join(
     """Equi-join of many ``left`` rows with a ``right`` side that is unique per key.
 
     Keys with more than ``rows_per_part`` left rows are split by a hash of ``row_id``; their single
-    right row is repeated once per part. There are at most rows / ``rows_per_part`` such keys, and
-    the table of them is still size-checked before it is broadcast.
+    right row is repeated once per part. There are at most rows / ``rows_per_part`` such keys; adaptive
+    execution joins their table by its true size.
     """
     hot = (
         left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > rows_per_part)
         .select(*keys, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts"))
     )
-    hot = sized_broadcast(hot)
     split_left = left.join(hot, keys, "left").withColumn(
         "_part", F.pmod(F.xxhash64(row_id), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
     ).drop("_parts")

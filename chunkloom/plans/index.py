@@ -11,12 +11,10 @@ from chunkloom.operators import embed as embedding
 from chunkloom.operators import incremental, snapshot
 from chunkloom.functions import detect_language
 from chunkloom.operators.chunking import chunk_corpus
-from chunkloom.session import BROADCAST_BYTES, cut
+from chunkloom.session import cut
 from chunkloom.schemas import CHUNKS, INDEXED_FILES, MAX_FILE_BYTES, VECTORS
 
 
-# Bound of one row of the broadcast action table (two hashes and a path).
-ROW_BYTES = 1_200
 
 
 @dataclass
@@ -51,11 +49,7 @@ def apply_decisions(
     # are read once, by the chunkers.
     decided = cut(decisions.drop("text"))
     acts = F.col("action").isin("delete", "reindex", "patch")
-    small = decided.filter(acts).count() * ROW_BYTES <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda df: df)
-    acted = hint(
-        decided.filter(acts).select("file_id", F.col("action").alias("_action"), F.when(F.col("action") == "patch", F.col("path")).alias("_new_path"))
-    )
+    acted = decided.filter(acts).select("file_id", F.col("action").alias("_action"), F.when(F.col("action") == "patch", F.col("path")).alias("_new_path"))
     work = decisions.filter(F.col("action").isin("index", "reindex")).select(
         "repository_id", "file_id", F.col("path").alias("file_path"), "language", "text"
     )

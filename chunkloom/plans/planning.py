@@ -12,12 +12,12 @@ from chunkloom.session import cut
 from chunkloom.schemas import PLAN, PLANNING_CHUNKS, PLANNING_TOP_K
 
 
-def default_queries(prompts: DataFrame) -> DataFrame:
-    """One query per prompt: its first non-blank line, trimmed, at most 200 characters."""
+def default_queries(prompts: DataFrame, characters: int = 200) -> DataFrame:
+    """One query per prompt: its first non-blank line, trimmed, at most ``characters`` characters."""
     filled = F.filter("lines", lambda l: l.rlike(NONBLANK))
     first = F.regexp_replace(F.get(filled, F.lit(0)), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     keep = [c for c in prompts.columns if c != "text"]
-    return with_lines(prompts).select(*keep, F.substring(F.coalesce(first, F.lit("issue")), 1, 200).alias("query"))
+    return with_lines(prompts).select(*keep, F.substring(F.coalesce(first, F.lit("issue")), 1, characters).alias("query"))
 
 
 def default_plans(runs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def default_plans(runs: DataFrame) -> DataFrame:
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, rank_by: str = "score", k: int = PLANNING_CHUNKS, **options
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, rank_by: str = "score", k: int = PLANNING_CHUNKS, per_query: int = PLANNING_TOP_K,
+    **options,
 ) -> DataFrame:
     """Best ``k`` chunks per run over all its queries.
 
@@ -35,7 +36,7 @@ def retrieve(
     queries keeps its best score, the lowest query number on a tie. ``rank_by`` is ``score`` (the
     mixed value searches report) or ``fused_score``.
     """
-    hits = hybrid_search(queries, chunks, vectors, top_k=PLANNING_TOP_K, **options)
+    hits = hybrid_search(queries, chunks, vectors, top_k=per_query, **options)
     asked = queries.select("query_id", "run_id", "query_no")
     fields = ["file_path", "language", "symbol", "kind", "start_line", "end_line", "content", "score", "fused_score"]
     best = hits.join(asked, "query_id").groupBy("run_id", "repository_id", "chunk_id").agg(

@@ -10,30 +10,29 @@ from chunkloom.functions.content import label
 from chunkloom.operators import bm25, dense, fusion, rerank
 from chunkloom.operators.search import check_top_k, validate_queries
 from chunkloom.schemas import BM25_CANDIDATES, CHAT_TOP_K, DEFAULT_TOP_K, DENSE_CANDIDATES
+from chunkloom.session import cut
 
 HIT_FIELDS = ["file_path", "language", "symbol", "kind", "start_line", "end_line", "content"]
 
-# Fused hits are at most 40 a query; up to this many queries they are sure to fit a broadcast.
-QUERIES_WITH_SMALL_HITS = 5_000
-
 
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int = DEFAULT_TOP_K,
     scorer: Callable[[Column, Column], Column] | None = None, index: bm25.Bm25Index | None = None,
-    approximate: bool = False,
+    approximate: bool = False, dense_candidates: int = DENSE_CANDIDATES, lexical_candidates: int = BM25_CANDIDATES,
 ) -> DataFrame:
     """Dense and BM25 candidates, fused by reciprocal rank, joined to chunks, reranked and cut.
 
     ``queries``: repository_id, query_id, query, embedding. The order is by fused score; the
     reported ``score`` is the cosine where the chunk was a dense hit, else the fused value. A
-    ``top_k`` column in ``queries`` overrides the argument per query.
+    ``top_k`` column in ``queries`` overrides the argument per query. ``dense_candidates`` and ``lexical_candidates`` are
+    how many of each list are fused; results beyond their sum need larger ones.
     """
     check_top_k(top_k)
     asked = validate_queries(queries)
     if "top_k" not in asked.columns:
         asked = asked.withColumn("top_k", F.lit(top_k))
-    near = (dense.knn_lsh if approximate else dense.knn)(asked, vectors, DENSE_CANDIDATES)
-    lexical = bm25.search(asked, chunks, BM25_CANDIDATES, index)
+    near = (dense.knn_lsh if approximate else dense.knn)(asked, vectors, dense_candidates)
+    lexical = bm25.search(asked, chunks, lexical_candidates, index)
     key = ["repository_id", "query_id", "chunk_id"]
     merged = near.select(
         *key, F.lit(0).alias("_list"), "rank", F.col("dense_score").alias("_value")
@@ -44,9 +43,10 @@ def hybrid_search(
         of(0, "_value").alias("dense_score"), of(1, "_value").alias("bm25_score"),
         of(0, "rank").alias("dense_rank"), of(1, "rank").alias("bm25_rank"),
     )
-    few = asked.limit(QUERIES_WITH_SMALL_HITS + 1).count() <= QUERIES_WITH_SMALL_HITS
+    # Stored once, so that the join with the chunk texts is planned by the true size of the hits.
+    fused = cut(fused)
     hits = chunks.select("repository_id", "chunk_id", *HIT_FIELDS).join(
-        F.broadcast(fused) if few else fused, ["repository_id", "chunk_id"]
+        fused, ["repository_id", "chunk_id"]
     ).join(asked.select("repository_id", "query_id", "query", "top_k"), ["repository_id", "query_id"])
     hits = hits.withColumn("score", F.coalesce("dense_score", "fused_score"))
     ranked = rerank.apply(hits, scorer)

@@ -51,7 +51,8 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables: the cluster's own setting when there is one.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a temporary folder.
+    Only a local session without ``spark.checkpoint.dir`` (a test on one machine) gets a temporary folder; on a
+    cluster a folder of the driver's machine would be out of the executors' reach, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -59,6 +60,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     created = tempfile.mkdtemp(prefix="chunkloom-")
     spark.sparkContext.setCheckpointDir(created)
     return created

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chunkloom.session import sized_broadcast
 
 BUCKETS = 256
 
@@ -117,15 +116,15 @@ def merge_snapshot(
 
 
 def drop_repository(df: DataFrame, repository_ids: DataFrame) -> DataFrame:
-    return df.join(sized_broadcast(repository_ids.select("repository_id").distinct()), "repository_id", "left_anti")
+    return df.join(repository_ids.select("repository_id").distinct(), "repository_id", "left_anti")
 
 
 def cascade_delete(tables: dict[str, DataFrame], repository_ids: DataFrame) -> dict[str, DataFrame]:
     """Remove repositories from every table that carries ``repository_id``."""
-    ids = sized_broadcast(repository_ids.select("repository_id").distinct())
+    ids = repository_ids.select("repository_id").distinct()
     return {name: df.join(ids, "repository_id", "left_anti") for name, df in tables.items()}
 
 
 def scope(df: DataFrame, repositories: DataFrame) -> DataFrame:
     """Rows of the given repositories only."""
-    return df.join(sized_broadcast(repositories.select("repository_id").distinct()), "repository_id", "left_semi")
+    return df.join(repositories.select("repository_id").distinct(), "repository_id", "left_semi")

@@ -12,7 +12,7 @@ from chunkloom.schemas import CHUNKS, INDEXED_FILES
 from chunkloom.session import cut
 from chunkloom.sources.tables import TableStore
 from chunkloom.streaming.deliveries import each_batch
-from chunkloom.streaming.state import BatchState
+from chunkloom.streaming.state import BatchNumbers, BatchState, stored
 
 INDEX_STATE = "repository_id string, last_indexed_commit string"
 STORED = "delivery_id string, event_type string, received_at timestamp, repository_id string, outcome string, status string"
@@ -78,17 +78,19 @@ def ingest(
     index_state = BatchState(spark, f"{root}/index_state", INDEX_STATE)
     store = store_of(spark, root)
 
-    def stored(before: int) -> DataFrame:
-        try:
-            rows = spark.read.schema(STORED + ", batch long").parquet(f"{root}/deliveries")
-        except Exception:  # noqa: BLE001 - nothing stored yet
+    numbers = BatchNumbers(spark, root, known.batches)
+
+    def earlier(before: int) -> DataFrame:
+        if not stored(spark, f"{root}/deliveries"):
             return spark.createDataFrame([], STORED)
+        rows = spark.read.schema(STORED + ", batch long").parquet(f"{root}/deliveries")
         return rows.filter(F.col("batch") < before).drop("batch")
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
+    def handle(batch: DataFrame, stream_batch: int) -> None:
+        batch_id = numbers.number(stream_batch, checkpoint)
         repos = known.read(before=batch_id)
         repos = repositories if repos.isEmpty() else repos
-        accepted, rejected = ops.gate(batch, secret, repos, stored(batch_id))
+        accepted, rejected = ops.gate(batch, secret, repos, earlier(batch_id))
         accepted = cut(accepted)
         columns = [c.split()[0] for c in STORED.split(", ")]
         accepted.select(*columns).write.mode("overwrite").parquet(f"{root}/deliveries/batch={batch_id}")

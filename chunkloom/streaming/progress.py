@@ -9,7 +9,7 @@ from chunkloom.schemas import PROGRESS
 from chunkloom.streaming.deliveries import each_batch
 from chunkloom.streaming.state import BatchState
 
-RUN_STATE = "run_id string, status string, rejected_events long"
+RUN_STATE = "run_id string, status string, rejected_events long, ts timestamp, seq long"
 
 
 def write_status(stream: DataFrame, state_root: str, checkpoint: str, available_now: bool = True):
@@ -39,10 +39,10 @@ def write_run_status(stream: DataFrame, state_root: str, checkpoint: str, reject
         judged = runs.judge(batch, before)
         if rejected_root:
             judged.filter("NOT legal").write.mode("overwrite").parquet(f"{rejected_root}/batch={batch_id}")
-        state.write(runs.latest(judged, before), batch_id)
+        state.write(runs.advanced(judged, before), batch_id)
 
     return each_batch(stream, handle, checkpoint, available_now)
 
 
 def run_status(spark, state_root: str) -> DataFrame:
-    return BatchState(spark, state_root, RUN_STATE).read()
+    return BatchState(spark, state_root, RUN_STATE).read().select("run_id", "status", "rejected_events")
