@@ -58,7 +58,7 @@ def matches(
         F.sequence(F.lit(1), F.greatest(F.length(f) - 2, F.lit(1))), lambda i: F.substring(F.col(f), i, F.lit(3))
     )
     every = texts.select("repository_id", *key, *shown).select("repository_id", *key, F.explode(F.array_distinct(F.concat(*[grams(l) for l in low]))).alias("_gram"))
-    candidates = every.join(keyed, ["repository_id", "_gram"]).drop("_gram")
+    candidates = every.join(keyed, ["repository_id", "_gram"]).drop("_gram").distinct()
     return texts.select("*", *shown).join(candidates, ["repository_id", *key]).filter(hit()).drop(*low)
 
 

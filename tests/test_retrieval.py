@@ -100,10 +100,18 @@ def test_history_paths_agree(spark):
     terms = spark.createDataFrame([(1, "r", 0, "login 1"), (1, "r", 1, "oauth%"), (1, "r", 2, "en ref"), (2, "r", 0, "session_x"), (2, "s", 1, "login")],
                                   "run_id int, repository_id string, query_no int, term string")
     take = lambda df: sorted((r.run_id, r.query_no, r.number) for r in df.select("run_id", "query_no", "number").collect())
-    small = take(history.matches(terms, texts, ["title", "body"]))
-    large = take(history.matches(terms, texts, ["title", "body"], small_bytes=0))
+    small = take(history.matches(terms, texts, ["title", "body"], ["number"]))
+    large = take(history.matches(terms, texts, ["title", "body"], ["number"], small_bytes=0))
     assert small == large and len(small) == len(set(small)) and (1, 1, 1) in small
-    assert take(history.matches(terms.filter("query_no = 0"), texts, ["title"], regex=True)) == [t for t in small if t[1] == 0]
+    assert take(history.matches(terms.filter("query_no = 0"), texts, ["title"], ["number"], regex=True)) == [t for t in small if t[1] == 0]
+
+
+def test_patterns_keep_their_case(spark):
+    commits = spark.createDataFrame([("r", "a", 1, "ABC 123", None), ("r", "b", 2, "abc", "abcd")], "repository_id string, sha string, ts int, subject string, message string")
+    queries = spark.createDataFrame([("run", "r", -1, n, q) for n, q in enumerate([r"abc\W", r"\D{4}$", r"b\Sd"])], "run_id string, repository_id string, issue_number int, query_no int, query string")
+    found = history.related_commits(queries, commits, regex=True, per_term=None, k=None, max_queries=None).collect()
+    assert sorted((r.sha, r.rank) for r in found) == [("a", 1), ("b", 2)]
+    assert [r.sha for r in history.related_commits(queries.limit(1), commits, regex=True).collect()] == ["a"]
 
 
 def test_issue_limits(spark):

@@ -6,6 +6,7 @@ from chunkloom.functions.content import sign
 from chunkloom.operators import progress, runs
 from chunkloom.schemas import DELIVERIES, PROGRESS, RUN_EVENTS
 from chunkloom.sources.deliveries import read_deliveries
+from chunkloom.streaming.state import BatchNumbers, stored
 from chunkloom.streaming import index as stream_index
 from chunkloom.streaming import progress as stream_progress
 
@@ -51,6 +52,23 @@ def test_run_status_stream_equals_batch(spark, tmp_path):
     assert take(runs.latest(judged)) == sorted((k, *v) for k, v in want.items())
 
 
+def test_late_run_events_do_not_turn_a_status_back(spark, tmp_path):
+    rows = [("a", ts(1), 1, "started"), ("b", ts(1), 2, "started"), ("a", ts(9), 9, "failed"), ("a", ts(5), 5, "awaiting"), ("b", ts(6), 6, "awaiting"), ("b", ts(6), 5, "failed")]
+    batch, stream = write_parts(spark, tmp_path / "in", rows, RUN_EVENTS)
+    stream_progress.write_run_status(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.run_id: r.status for r in stream_progress.run_status(spark, str(tmp_path / "state")).collect()}
+    assert got == {r.run_id: r.status for r in runs.latest(runs.judge(batch)).collect()} == {"a": "failed", "b": "awaiting_approval"}
+
+
+def test_batch_numbers_grow_over_checkpoints(spark, tmp_path):
+    used = []
+    numbers = BatchNumbers(spark, str(tmp_path), lambda: used)
+    given = [numbers.number(0, "one"), numbers.number(1, "one"), numbers.number(1, "one")]
+    used += [0, 1]
+    given += [numbers.number(0, "two"), numbers.number(1, "two"), numbers.number(2, "one")]
+    assert given[:5] == [0, 1, 1, 2, 3] and stored(spark, f"{tmp_path}/streams") and not stored(spark, f"{tmp_path}/none")
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     rows = []
     for n in range(60):
