@@ -186,7 +186,11 @@ def delivery_hourly(spark, folder):
     return deliveries.hourly(accepted).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@register("signature_check")
+@register("signature_check", """
+SELECT CASE WHEN user_id % 13 = 0 THEN '' ELSE 'd' || (event_id // 2) END AS delivery_id, ts AS received_at,
+       NOT (event_type = 'signup' AND user_id % 2 = 1) AS valid, false AS wrong_secret, false AS no_secret, false AS changed_body,
+       false AS no_header, false AS wrong_prefix
+FROM events""")
 def signature_check(spark, folder):
     """Every way a signature can be wrong, per delivery."""
     rows = signed(events_batch(spark, folder))
