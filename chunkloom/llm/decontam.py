@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from chunkloom.llm import words as W
 from chunkloom.session import cut
 
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 19
 WINDOW = 10
 BLOCK_BYTES = 4 << 20     # text of test items that one search pass carries to the tasks
 INDEX = "segment string, word binary, n int, postings binary, doc_ids array<long>, lengths array<int>"

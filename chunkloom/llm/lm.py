@@ -32,8 +32,8 @@ from chunkloom.session import cut
 ORDER = 2
 STRENGTH = 50.0           # K, pseudo-counts of the shorter context
 UNIT = 0.1                # pseudo-count of a word in the unigram distribution
-BLOCK_TOKENS = 1 << 20
-BUCKET_ENTRIES = 2 << 20
+BLOCK_TOKENS = 3 << 18
+BUCKET_ENTRIES = 1 << 20
 FOLDS = 10                # documents whose id hashes to fold 0 are held out
 # Hashes of what no text contains as a word.
 START, END = (int(h) for h in W.hashes([b"\t", b"\n"]))

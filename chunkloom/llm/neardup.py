@@ -42,7 +42,7 @@ def shingle_set(codes_hashed: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(W.rolled(codes_hashed, size).view(np.int64))
 
 
-def _sets(batches, most: int | None, packed: bool):
+def _sets(batches, most: int | None):
     for batch in batches:
         ids, texts = batch.column(0), W.binary_column(batch, "text")
         for a, b in W.groups(texts):
@@ -55,10 +55,7 @@ def _sets(batches, most: int | None, packed: bool):
             shown = [s[:most] for s in sets]
             flat = np.concatenate(shown) if shown else np.zeros(0, np.int64)
             ends = np.cumsum([len(s) for s in shown])
-            values = (
-                W.blobs(flat, ends) if packed
-                else pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
-            )
+            values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [ids[a:b], pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), values],
                 ["doc_id", "n_shingles", "h1", "h2", "values"],
@@ -69,17 +66,17 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
 
 
-SETS = "doc_id long, n_shingles long, h1 long, h2 long, values "
+SETS = "doc_id long, n_shingles long, h1 long, h2 long, values array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, values): set size, 128-bit key of the set, and its K smallest hashes in order."""
-    return _source(docs).mapInArrow(lambda it: _sets(it, K, False), SETS + "array<long>")
+    return _source(docs).mapInArrow(lambda it: _sets(it, K), SETS)
 
 
-def full_sets(docs: DataFrame, packed: bool = True) -> DataFrame:
-    """As :func:`sketches`, but ``values`` is the whole sorted set, as bytes or as an array."""
-    return _source(docs).mapInArrow(lambda it: _sets(it, None, packed), SETS + ("binary" if packed else "array<long>"))
+def full_sets(docs: DataFrame) -> DataFrame:
+    """As :func:`sketches`, but ``values`` is the whole sorted set."""
+    return _source(docs).mapInArrow(lambda it: _sets(it, None), SETS)
 
 
 def _of_nodes(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -132,17 +129,6 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _linked(batches):
-    for batch in batches:
-        lefts, rights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = np.zeros(len(lefts), bool)
-        for i, (x, y) in enumerate(zip(lefts, rights)):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``pairs`` (a, b) whose full sets have a Jaccard similarity of at least 0.75.
 
@@ -153,7 +139,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     sets = cut(_of_nodes(sets, classes))
     left = sets.select(F.col("node").alias("a"), F.col("values").alias("va"))
     right = sets.select(F.col("node").alias("b"), F.col("values").alias("vb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_linked, "a long, b long")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("va").alias("na"), F.size("vb").alias("nb"), F.size(F.array_intersect("va", "vb")).alias("both"))
+    return met.filter("100L * both >= 75L * (na + nb - both)").select("a", "b")
 
 
 def _met(entries: DataFrame, shared: str) -> DataFrame:
@@ -189,7 +176,7 @@ def undecided(lists: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFr
     labelled = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parted = labelled.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     members = cut(labelled.join(parted, "value", "left_semi").select("node", "component").distinct())
-    sets = _of_nodes(full_sets(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), packed=False), classes)
+    sets = _of_nodes(full_sets(docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")), classes)
     postings = cut(sets.join(members, "node").select("node", "component", F.col("n_shingles").alias("n"), F.explode("values").alias("g")))
     live = postings.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo < hi").select("g", "df")
     kept = cut(

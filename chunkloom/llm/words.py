@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, functions as F
 
-GROUP_BYTES = 3 << 20
+GROUP_BYTES = 1 << 20
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # A-Z lower-cased; every ASCII character that is no digit or letter becomes a blank; bytes of other characters stay.
