@@ -1,13 +1,21 @@
-"""Quality rules: base rules and a hashed n-gram log-likelihood ratio.
+"""Quality rules: base rules, a hashed n-gram log-likelihood ratio, and the worst window of words shunned by trusted text.
 
 Two multinomials over hashed word unigrams and bigrams are counted: one over all documents (raw), one over trusted
 documents (labelled good and not toxic). The score of a document is the mean, over its n-grams, of
-``log(p_trusted / p_raw)``; a document is kept when it passes the base rules and its score reaches ``THRESHOLD``.
+``log(p_trusted / p_raw)``, or that of its worst window if it is lower; a document is kept when it passes the base
+rules and its score reaches ``THRESHOLD``.
 A document's own n-grams are taken out of both counts before it is scored, so that neither a small corpus nor being
 in the trusted sample moves its score; cells seen too rarely to tell are pulled to a ratio of one by ``SMOOTHING``.
 
+A few insults don't move a mean over all n-grams. So the same ratio is also taken of words by the number of documents
+that hold them (one text full of a word is one document), and words that trusted documents hold less than half as
+often as raw ones count with it. A window of ``WINDOW`` words slides over the document; its value is the mean ratio of
+such words over its length. The lowest value, on the scale on which ``WORST`` is ``THRESHOLD``, is the score if it is
+lower than the mean. Each word has a cell in two tables by independent hash bits
+and counts with its milder ratio, so a clean word that shares one cell with an insult isn't taken for it.
+
 Raw counts come from every document. The trusted side is a bounded sample of labelled ids (``SAMPLE`` ids with the
-smallest hashes), small enough to be broadcast. The model has ``BUCKETS`` cells whatever the corpus size.
+smallest hashes), small enough to be broadcast. The model has ``CELLS`` cells whatever the corpus size.
 """
 
 from __future__ import annotations
@@ -20,9 +28,14 @@ from chunkloom.llm import words as W
 
 BITS = 18
 BUCKETS = 1 << BITS
+CELLS = 3 * BUCKETS    # n-grams by occurrences, then two tables of words by documents
 SAMPLE = 20_000        # trusted labelled documents that fit the target model; ids only are broadcast (about 0.5 MB)
 SMOOTHING = 5.0        # pseudo-count of each cell, in trusted n-grams
 THRESHOLD = -0.2       # mean log-likelihood ratio in nats per n-gram
+WINDOW = 50            # words of a sliding window
+RARER = -0.7           # log ratio below which a word counts in its window: under half as frequent in trusted documents
+WORST = -0.035         # mean over a window of the log ratios of its rarer words
+PUNCTUATION = b".,;:!?\"'()[]"
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 3
@@ -41,6 +54,18 @@ def cells(codes: np.ndarray, lengths: np.ndarray, vocabulary: list[bytes]) -> tu
     )
 
 
+def word_pairs(codes: np.ndarray, lengths: np.ndarray, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, word) pairs, words without punctuation around them: document, cells in both tables, and the pair of each word in order."""
+    words = pa.array([w.strip(PUNCTUATION) for w in vocabulary], pa.binary()).dictionary_encode()
+    h = W.finish(W.hashes(words.dictionary.to_pylist()))
+    n = max(len(h), 1)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    key, pair = np.unique(owner * n + words.indices.to_numpy().astype(np.int64)[codes], return_inverse=True)
+    at = h[key % n]
+    tables = np.stack([at >> np.uint64(64 - BITS), ((at >> np.uint64(64 - 2 * BITS)) & np.uint64(BUCKETS - 1)) + np.uint64(BUCKETS)])
+    return key // n, tables.astype(np.int64) + BUCKETS, pair
+
+
 def repeated_words(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Per document: words inside 3-word windows that occur twice or more in it."""
     n, size = len(codes), REPEAT_WINDOW
@@ -77,13 +102,16 @@ def word_characters(text: bytes | None) -> int:
 
 
 def _count(batches):
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    raw, trusted = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
     for batch in batches:
         texts, flags = W.binary_column(batch, "text"), np.array(batch.column(1).to_pylist(), bool)
         for a, b in W.groups(texts):
-            where, owner = cells(*W.coded([W.space_words(t) for t in texts[a:b]]))
-            raw += np.bincount(where, minlength=BUCKETS)
-            trusted += np.bincount(where[flags[a:b][owner]], minlength=BUCKETS)
+            coded = W.coded([W.space_words(t) for t in texts[a:b]])
+            where, owner = cells(*coded)
+            doc, tables, _ = word_pairs(*coded)
+            mine = flags[a:b]
+            raw += np.bincount(where, minlength=CELLS) + np.bincount(tables.ravel(), minlength=CELLS)
+            trusted += np.bincount(where[mine[owner]], minlength=CELLS) + np.bincount(tables[:, mine[doc]].ravel(), minlength=CELLS)
     at = np.flatnonzero(raw)
     for i in range(0, len(at), 50_000):
         part = at[i: i + 50_000]
@@ -107,14 +135,14 @@ def _flagged(docs: DataFrame, trusted: DataFrame, columns: list) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Counts of each cell over all documents (row 0) and over the trusted ones (row 1)."""
+    """Counts of each of the ``CELLS`` over all documents (row 0) and over the trusted ones (row 1)."""
     counted = (
         _flagged(docs, trusted, [docs["text"].cast("binary").alias("text")])
         .mapInArrow(_count, "cell int, raw long, trusted long")
         .groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-        .toArrow()  # at most BUCKETS rows
+        .toArrow()  # at most CELLS rows
     )
-    model = np.zeros((2, BUCKETS))
+    model = np.zeros((2, CELLS))
     model[:, counted.column("cell").to_numpy()] = counted.column("raw").to_numpy(), counted.column("trusted").to_numpy()
     return model
 
@@ -124,7 +152,7 @@ def ratio_scores(where: np.ndarray, owner: np.ndarray, flags: np.ndarray, model:
 
     With t of T trusted and r of R raw n-grams in a cell: ``log((t + m) / (r * T / R + m))``, m the smoothing.
     """
-    total = model.sum(axis=1)
+    total = model[:, :BUCKETS].sum(axis=1)
     key, count = np.unique(owner * BUCKETS + where, return_counts=True)
     doc, cell = key // BUCKETS, key % BUCKETS
     size = np.bincount(owner, minlength=len(flags))
@@ -136,7 +164,32 @@ def ratio_scores(where: np.ndarray, owner: np.ndarray, flags: np.ndarray, model:
     return np.bincount(doc, weights=ratio * count, minlength=len(flags)) / np.maximum(size, 1)
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+def worst_windows(lengths: np.ndarray, flags: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], model: np.ndarray) -> np.ndarray:
+    """Lowest mean over ``WINDOW`` words of the ratios of rarer words, the document itself left out of the counts; 0 without any.
+
+    The mean is over ``WINDOW`` words in shorter texts too. Ratios are summed in whole millionths, so that the sums
+    don't depend on the documents of a group.
+    """
+    doc, tables, pair = pairs
+    total = model[:, BUCKETS:].sum(axis=1) / 2  # a pair is in both tables
+    size = np.bincount(doc, minlength=len(flags))
+    share = (np.maximum(total[1] - size * flags, 0) / np.maximum(total[0] - size, 1))[doc]
+    ratio = np.log((model[1][tables] - flags[doc] + SMOOTHING) / ((model[0][tables] - 1) * share + SMOOTHING)).max(axis=0)
+    rarer = np.where(ratio < RARER, np.rint(1e6 * ratio), 0).astype(np.int64)[pair]
+    sums = np.concatenate([[0], np.cumsum(rarer)])
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    start = np.arange(len(owner))
+    worst = np.zeros(len(lengths), np.int64)
+    np.minimum.at(worst, owner, sums[np.minimum(start + WINDOW, np.cumsum(lengths)[owner])] - sums[start])
+    return worst / (1e6 * WINDOW)
+
+
+def lower_of(means: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """The mean ratio, or the worst window's on its scale where that is lower; a text without rarer words has no window."""
+    return np.where(worst < 0, np.minimum(means, worst * (THRESHOLD / WORST)), means)
+
+
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, worst double"
 
 
 def _scorer(model: np.ndarray, names: list[str]):
@@ -149,14 +202,16 @@ def _scorer(model: np.ndarray, names: list[str]):
                 part = texts[a:b]
                 codes, lengths, vocabulary = W.coded([W.space_words(t, lower=False) for t in part])
                 # Lower-casing only merges codes, so the texts are split once.
-                where, owner = cells(codes, lengths, [w.translate(W.UPPER) for w in vocabulary])
+                lower = [w.translate(W.UPPER) for w in vocabulary]
+                where, owner = cells(codes, lengths, lower)
+                worst = worst_windows(lengths, flags[a:b], word_pairs(codes, lengths, lower), model)
                 symbols = np.fromiter((len(t) - len(t.translate(None, SYMBOLS)) if t else 0 for t in part), np.int64, b - a)
                 parts.append((
                     lengths, np.fromiter(map(word_characters, part), np.int64, b - a), symbols,
                     np.fromiter(map(duplicate_lines, part), np.int64, b - a), repeated_words(codes, lengths),
-                    ratio_scores(where, owner, flags[a:b], model),
+                    lower_of(ratio_scores(where, owner, flags[a:b], model), worst), worst,
                 ))
-            measures = [pa.array(np.concatenate(x)) for x in zip(*parts)] or [pa.array([], pa.int64())] * 5 + [pa.array([], pa.float64())]
+            measures = [pa.array(np.concatenate(x)) for x in zip(*parts)] or [pa.array([], pa.int64())] * 5 + [pa.array([], pa.float64())] * 2
             kept = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(kept + measures, names + [m.split()[0] for m in MEASURES.split(", ")])
 
@@ -164,7 +219,7 @@ def _scorer(model: np.ndarray, names: list[str]):
 
 
 def measure(docs: DataFrame, model: np.ndarray, trusted: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns of every row with the base measures, ``base_failed``, ``score`` and ``kept``.
+    """``keep`` columns of every row with the base measures, ``base_failed``, ``score``, ``worst`` and ``kept``.
 
     A null or empty text has no words and fails the base rule. Repeated rows are measured each on its own.
     Columns other than ``keep`` and ``text`` are not read. A document at the threshold is kept. Without trusted

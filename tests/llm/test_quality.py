@@ -66,3 +66,38 @@ def test_labelled_junk_is_told_apart(spark):
     clean = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
     junk = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(clean) == len(clean) and sum(junk) < 0.6 * len(junk)
+
+
+def keep_rates(spark, folder):
+    """(kept, all) of labelled documents that pass the base rules, by clean, toxic with an insult, and junk."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    trusted = quality.trusted_ids(labels)
+    rows = quality.measure(docs, quality.fit(docs, trusted), trusted, ["doc_id", "text"]).filter("NOT base_failed").join(labels, "doc_id").collect()
+    insults = {"trash", "pathetic", "idiot", "disgusting", "worthless", "clown", "loser", "scum", "stupid", "moron"}
+    groups = {
+        "clean": [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0],
+        "toxic": [r["kept"] for r in rows if r["toxic"] == 1 and insults & {w.strip(".,") for w in r["text"].lower().split()}],
+        "toxic label only": [r["kept"] for r in rows if r["toxic"] == 1 and not insults & {w.strip(".,") for w in r["text"].lower().split()}],
+        "junk": [r["kept"] for r in rows if r["quality"] == 0 and r["toxic"] == 0],
+    }
+    return {k: (sum(v), len(v)) for k, v in groups.items()}
+
+
+def test_toxic_documents_are_rejected_and_clean_ones_kept(spark):
+    rates = keep_rates(spark, "/root/testdata/sf0.01")
+    assert rates["clean"][0] == rates["clean"][1] > 0
+    assert rates["toxic"][0] == 0 < rates["toxic"][1]
+
+
+def test_worst_window_rejects_few_insults_in_a_long_text(spark):
+    rng = random.Random(2)
+    plain = lambda n: rng.choices([f"v{j}" for j in range(40)], k=n)
+    docs = [(i, " ".join(plain(400)), "", 0) for i in range(200)]
+    # Two insults close together among 600 words.
+    for i in range(200, 260):
+        w = plain(600)
+        w[100], w[110] = "Idiot,", "scum."
+        docs.append((i, " ".join(w), "", 0))
+    rows = measured(spark, docs, [(i, 1, 0) for i in range(0, 200, 2)] + [(i, 1, 1) for i in range(200, 230)])
+    assert all(r["kept"] and r["worst"] == 0 for r in rows if r["doc_id"] < 200)
+    assert all(not r["kept"] and r["score"] < quality.THRESHOLD and r["worst"] < quality.WORST for r in rows if r["doc_id"] >= 200)
