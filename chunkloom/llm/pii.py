@@ -7,7 +7,9 @@ of one domain share a surrogate domain, names keep the gender of their title, th
 
 Collision check: over the table of distinct entities, two that would get one surrogate, or a surrogate that is
 itself an entity of the corpus, are found by aggregation and join; the losers are keyed again with the next attempt
-until none is left. Only documents that hold such an entity are joined with the table of attempts.
+until none is left. The check sees the strings that are shown: a phone's surrogate has its country code in it. Names
+get one syllable more with each attempt; a phone gives up its country code after ``TRIES``, as the numbers of one code
+and length may all be taken. Only documents that hold such an entity are joined with the table of attempts.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ ENDINGS = {
     "latin": {"m": "n", "f": "na", "n": "sen"}, "cyrillic": {"m": "н", "f": "на", "n": "ко"}, "greek": {"m": "ς", "f": "να", "n": "ου"},
 }
 LETTER = {"latin": r"^\p{IsLatin}", "cyrillic": r"^\p{IsCyrillic}", "greek": r"^\p{IsGreek}"}
+# Country codes by the digits after +: those of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+TRIES = 20
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 PATTERNS = {
@@ -72,14 +77,19 @@ def _names(m: Column) -> Column:
 
 
 def keys_of(m: Column) -> Column:
-    """Normalised entities of a match: one, or one for each word of a name, as ``kind:value``."""
+    """Normalised entities of a match: one, or one for each word of a name, as ``kind:value``.
+
+    The kind of a phone written with + holds its country code, so it doesn't depend on how the digits are set apart.
+    """
     kind = kind_of(m)
     words = _names(m)
     named = F.transform(words, lambda w, i: F.concat(
         F.lit("name-"), F.when(i == F.size(words) - 1, "n").otherwise(_gender(m)), F.lit("-"), _script(w), F.lit(":"), F.lower(w)
     ))
+    abroad = F.concat(F.lit("phone+"), F.regexp_extract(_digits(m), COUNTRY, 0), F.lit(":"), _digits(m))
     return (
         F.when(kind == "name", named).when(kind == "email", F.array(F.concat(F.lit("email:"), F.lower(m))))
+        .when((kind == "phone") & m.startswith("+"), F.array(abroad))
         .when(kind == "ip", F.array(F.concat(F.lit("ip:"), m))).otherwise(F.array(F.concat(kind, F.lit(":"), _digits(m))))
     )
 
@@ -119,6 +129,8 @@ def surrogate_key(secret: str, key: Column, attempt: Column) -> Column:
     octet = lambda i: (F.conv(F.substring(seed, 4 * i + 1, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     n = F.length(value)
     plain = F.substring(number, F.lit(1), n)
+    code = F.when(kind.startswith("phone+") & (attempt < TRIES), F.length(kind) - len("phone+")).otherwise(F.lit(0))
+    phone = F.concat(F.substring(value, F.lit(1), code), F.substring(number, code + 1, n - code))
     body = F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(2), n - 2))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.when(_luhn(value) % 10 == 0, F.concat(body, check)).otherwise(F.concat(F.substring(value, 1, 1), F.substring(number, F.lit(2), n - 1)))
@@ -129,13 +141,15 @@ def surrogate_key(secret: str, key: Column, attempt: Column) -> Column:
         ends = ENDINGS[script]
         gender = F.substring(kind, 6, 1)
         ending = F.when(gender == "m", ends["m"]).when(gender == "f", ends["f"]).otherwise(ends["n"])
-        return F.concat(*[pick(i) for i in range(4)], ending)
+        further = lambda i: F.get(table, F.conv(F.substring(F.sha2(F.concat(seed, F.lit("\x1f"), i.cast("string")), 256), 1, 7), 16, 10).cast("int") % len(SYLLABLES[script]))
+        longer = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), attempt), further), "")).otherwise(F.lit(""))
+        return F.concat(*[pick(i) for i in range(4)], longer, ending)
 
     script = F.substring_index(kind, "-", -1)
     names = F.when(script == "cyrillic", name("cyrillic")).when(script == "greek", name("greek")).otherwise(name("latin"))
     return (
         F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
-        .when(kind == "card", card).when(kind == "phone", plain).when(kind == "ssn", plain).otherwise(names)
+        .when(kind == "card", card).when(kind.startswith("phone"), phone).when(kind == "ssn", plain).otherwise(names)
     )
 
 
@@ -157,13 +171,11 @@ def surrogate(secret: str, m: Column, attempts: Column) -> Column:
     kind = kind_of(m)
     found = F.transform(keys_of(m), lambda k: surrogate_key(secret, k, F.coalesce(F.get(F.map_values(F.map_filter(attempts, lambda x, _: x == k)), F.lit(0)), F.lit(0))))
     first = found[0]
-    country = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1))).otherwise(F.lit(0))
-    phone = F.concat(F.substring(_digits(m), F.lit(1), country), F.substring(first, country + 1, F.length(m)))
     cased = F.zip_with(found, _names(m), lambda s, w: F.when(F.length(w) > 1, F.when(F.upper(w) == w, F.upper(s)).otherwise(F.initcap(s))).otherwise(F.initcap(s)))
     title = F.regexp_extract(m, rf"^(?:{TITLES['m']}|{TITLES['f']})\.? ", 0)
     return (
         F.when(kind == "name", F.concat(title, F.array_join(cased, " "))).when(kind.isin("email", "ip"), first)
-        .when(kind == "phone", _laid_out(m, phone)).otherwise(_laid_out(m, first))
+        .otherwise(_laid_out(m, first))
     )
 
 
@@ -174,8 +186,8 @@ def matches(text: Column) -> Column:
 
 
 def _shown(key: Column, value: Column) -> Column:
-    """Surrogate as the key of its own kind. A phone keeps its country code, so its whole digits are compared."""
-    return F.concat(F.substring_index(key, ":", 1), F.lit(":"), value)
+    """Entity or surrogate ``value`` of a key's kind. Phones are compared by all their digits, whatever their country code."""
+    return F.concat(F.substring_index(F.substring_index(key, ":", 1), "+", 1), F.lit(":"), value)
 
 
 def collisions(entities: DataFrame, secret: str) -> DataFrame:
@@ -187,7 +199,8 @@ def collisions(entities: DataFrame, secret: str) -> DataFrame:
     while True:
         given = named.withColumn("shown", _shown(F.col("key"), surrogate_key(secret, F.col("key"), F.col("attempt"))))
         shared = given.groupBy("shown").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("winner")).filter("n > 1").select("shown", "winner")
-        real = named.select(F.col("key").alias("shown"), F.lit(True).alias("real"))
+        value = F.substring(F.col("key"), F.instr("key", ":") + 1, F.length("key"))
+        real = named.select(_shown(F.col("key"), value).alias("shown"), F.lit(True).alias("real")).distinct()
         judged = given.join(shared, "shown", "left").join(real, "shown", "left")
         lost = F.coalesce(F.col("real"), F.lit(False)) | (F.col("winner") != F.col("key"))
         again = cut(judged.filter(F.coalesce(lost, F.lit(False))).select("key"))

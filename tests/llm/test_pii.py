@@ -74,3 +74,33 @@ def test_no_entity_of_the_corpus_is_left(spark, table):
     before = {r[0] for r in docs.select(F.explode(pii.matches(F.col("text")))).collect()}
     after = {r[0] for r in pii.replace(docs).select(F.explode(pii.matches(F.col("text")))).collect()}
     assert before and not before & after and len(after) == len(before)
+
+
+def test_country_code_comes_from_the_digits(spark):
+    got = replaced(spark, ["+1 523 555 1055, +15235551055, +1523 555 1055", "+49 30 1234567 or +493 012 34567", "+358 40 123 4567"])
+    one = [re.sub(r"\D", "", x) for x in got[0].split(", ")]
+    assert len(set(one)) == 1 and one[0].startswith("1") and not one[0].startswith("1523")
+    two = [re.sub(r"\D", "", x) for x in got[1].split(" or ")]
+    assert len(set(two)) == 1 and two[0].startswith("49") and two[0] != "49301234567"
+    assert re.fullmatch(r"\+358 \d\d \d{3} \d{4}", got[2]) and "123 4567" not in got[2]
+
+
+def test_shown_phones_neither_meet_nor_are_real(spark):
+    # Five free digits, so that some of 2000 surrogates meet and some are real.
+    texts = [f"+1 {i % 10} {i // 10 % 100:02d} {(i * 7 + i // 1000) % 100:02d}" for i in range(2000)]
+    assert len(set(texts)) == 2000
+    got = replaced(spark, texts)
+    assert len(set(got)) == 2000 and not set(got) & set(texts) and all(re.fullmatch(r"\+1 \d \d\d \d\d", g) for g in got)
+
+
+def test_full_country_code_is_given_up(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRIES", 3)
+    texts = [f"+999{i:03d}" for i in range(700)]
+    got = replaced(spark, texts)
+    assert len(set(got)) == 700 and not set(got) & set(texts) and any(not g.startswith("+999") for g in got)
+
+
+def test_names_get_longer_with_attempts(spark):
+    frame = spark.createDataFrame([(a,) for a in range(12)], "a int")
+    got = [r[0] for r in frame.orderBy("a").select(pii.surrogate_key("s", F.lit("name-n-latin:smith"), F.col("a"))).collect()]
+    assert [len(g) for g in got] == [4 * 2 + 3 + 2 * a for a in range(12)]
