@@ -24,11 +24,16 @@ ARROW = pa.schema([(n, pa.binary() if n == "block" else pa.string()) for n in FI
 TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 VERSION = b"WARC/1.1\r\n"
 
+# Only comments, scripts and styles run to the end of a page when they aren't closed.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|textarea|svg|head)\b.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<run>script|style)(?=[\s/>]|\Z).*?(?:</(?P=run)\s*>|\Z)"
+    r"|<(?P<raw>noscript|template|textarea|svg|head)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<(?P<block>/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|nav|article|section|header|footer|main|aside|pre|blockquote|form|figure|title|body|html)\b)"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I,
+    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<tag>/?[A-Za-z][^\s/>\"']*+)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I,
 )
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "textarea", "svg", "title")}
+# Tags that leave a head open; any other one, and text, ends it as </head> does.
+IN_HEAD = {"noscript", "template", "title", "meta", "link", "base", "basefont", "bgsound", "html", "head"}
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 
@@ -42,8 +47,31 @@ def derived_id(record_id: str, role: str) -> str:
 
 
 def plain_text(markup: str) -> str:
-    """Text of an HTML page: no markup, scripts, styles or head; blocks on lines of their own, white space joined."""
-    text = html.unescape(MARKUP.sub(lambda m: "\n" if m["block"] else " " if m["raw"] else "", markup))
+    """Text of an HTML page: no markup, scripts, styles or head; blocks on lines of their own, white space joined.
+
+    A head without end tag ends at the first text or tag that can't be in it; an element left out that has no end tag
+    loses its tag only, and ``<svg .../>`` is closed.
+    """
+    out, at, in_head, unclosed = [], 0, False, set()
+    while m := MARKUP.search(markup, at):
+        text, at = markup[at:m.start()], m.end()
+        in_head = in_head and not text.strip()
+        out.append(text)
+        raw = (m["raw"] or "").lower()
+        name = raw or (m["block"] or m["tag"] or "").lower()
+        if in_head and name and name not in IN_HEAD and (name[0] != "/" or name in ("/head", "/body", "/html", "/br")):
+            in_head = False
+        if raw == "head":
+            in_head = True
+        elif (raw or (in_head and name == "title")) and name not in unclosed and not (raw == "svg" and m[0].endswith("/>")):
+            end = ENDS[name].search(markup, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(name)
+        out.append(" " if raw or m["run"] or in_head else "\n" if m["block"] else "")
+    out.append(markup[at:])
+    text = html.unescape("".join(out))
     lines = (BLANKS.sub(" ", line).strip() for line in text.replace("\r", "\n").split("\n"))
     return "\n".join(line for line in lines if line)
 

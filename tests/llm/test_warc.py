@@ -89,3 +89,26 @@ def test_files_round_trip(spark, tmp_path):
     assert key(read) == key(made) and read.filter("NOT whole").isEmpty()
     # What was written can be converted again as responses of their own.
     assert warc.derivatives(read).count() == 4
+
+
+def test_text_after_elements_left_open():
+    cases = {
+        "<html><head><title>t</title><body><p>text": "text",
+        "<head><meta charset='a'><title>t</title><script>var a = '</head>';</script><p>text": "text",
+        "<head><title>t</title>plain <b>text</b>": "plain text",
+        '<p>a</p><svg width="1"/><p>rest': "a\nrest",
+        "<p>a</p><svg width='1'><path d='M0'/></svg><p>rest": "a\nrest",
+        "<p>a<noscript>b<p>c": "a b\nc",
+        "a<textarea>b": "a b",
+        "a<template>b<svg>c": "a b c",
+        "a<svg-icon>b</svg-icon>": "ab",
+        "a<script>b": "a",
+        "a<style>b<p>c": "a",
+        "a<!-- b<p>c": "a",
+        "<head><style>p{}</style><title>t</title></head>x": "x",
+    }
+    assert {k: warc.plain_text(k) for k in cases} == cases
+
+
+def test_many_elements_left_open_take_linear_time():
+    assert warc.plain_text("<svg>a " * 200_000).count("a") == 200_000
