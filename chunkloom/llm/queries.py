@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import decontam, lm, mixing, neardup, pii, quality, secrets, tokencount, urlfilter, warc
+from chunkloom.llm import decontam, filteraudit, lm, mixing, neardup, pii, quality, secrets, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,6 +148,42 @@ def op10_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@register("op11_filters", f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, {SPACE_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+failed AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM texts),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN told USING (doc_id) GROUP BY part, f),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s:s] AS own, filter_order[1:s - 1] AS before FROM orders, range(1, 6) r(s)),
+judged AS (
+  SELECT *, contains(f, own) AS fails, length(translate(f, before, '')) < length(f) AS gone FROM counts, steps),
+summed AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (f = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM summed""")
+def op11_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every step of every order of five filters, by language."""
+    return filteraudit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""

@@ -99,3 +99,15 @@ def blobs(values: np.ndarray, stops: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(
         pa.large_binary(), len(stops), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]
     ).cast(pa.binary())
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest bytes each (1, 2, 4 or 8), after one byte that tells the width."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def widen(packed: bytes) -> np.ndarray:
+    """The integers of :func:`narrow`."""
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
