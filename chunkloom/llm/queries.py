@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chunkloom.llm import decontam, filteraudit, lm, mixing, neardup, pii, quality, secrets, tokencount, urlfilter, warc
+from chunkloom.llm import decontam, dualtree, filteraudit, lm, mixing, neardup, ngramjoin, pii, quality, secrets, tokencount, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,6 +184,53 @@ def op11_filters(spark: SparkSession, folder: str) -> DataFrame:
     return filteraudit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@register("op12_ngramjoin", f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {SPACE_WORDS.format(LOWER.format('coalesce(text, $$$$)'))} AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS s
+  FROM texts),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b
+  ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+links AS (
+  SELECT m.a, m.b FROM met m JOIN sets x ON x.doc_id = m.a JOIN sets y ON y.doc_id = m.b
+  WHERE 100 * m.n >= 90 * (len(x.s) + len(y.s) - m.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT w.b, p.r FROM reach p JOIN both_ways w ON w.a = p.doc_id WHERE p.r < w.b),
+least_id AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id FROM sets s JOIN least_id l USING (doc_id)""")
+def op12_ngramjoin(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document in the Jaccard join on three-word shingles."""
+    return ngramjoin.linked(table(spark, folder, "documents"))
+
+
+RANK_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op13_search", f"""
+WITH texts AS (SELECT doc_id, unnest({RANK_TERMS.format("coalesce(text, '')")}) AS word FROM documents),
+tf AS (SELECT doc_id, {LOWER.format('word')} AS term, count(*) AS tf FROM texts GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wanted AS (SELECT DISTINCT item_id, {LOWER.format('word')} AS term FROM (SELECT item_id, unnest({RANK_TERMS.format('text')}) AS word FROM benchmark)),
+weights AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM wanted JOIN df USING (term), total),
+lengths AS (SELECT doc_id, 50 + (50 * n * docs) // len AS m FROM sizes, total),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM weights JOIN tf USING (term) JOIN lengths USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50""")
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return dualtree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
