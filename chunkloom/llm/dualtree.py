@@ -226,7 +226,7 @@ def _shard_of(rows: list[tuple], places: list[np.ndarray], documents: int, lengt
     terms = np.unique(np.concatenate(places))
     out = np.zeros((len(rows), len(terms)))
     for i, ((_, n, _, counts), codes) in enumerate(zip(rows, places)):
-        tf = W.widen(counts).astype(np.int64)
+        tf = W.widen(counts)
         m = 50 + (50 * n * documents) // length
         out[i, np.searchsorted(terms, codes)] = (1_000_000_000 * tf) // (1000 * tf + 20 * m)
     return Shard(np.array([r[0] for r in rows], np.int64), out, terms)
@@ -236,7 +236,7 @@ def _shards(batches: Iterator[pa.RecordBatch], documents: int, length: int) -> I
     rows, places, terms, width = [], [], set(), 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            codes = W.widen(row[2]).astype(np.int64)
+            codes = W.widen(row[2])
             if row[0] is None or not len(codes):
                 continue
             rows.append(row)

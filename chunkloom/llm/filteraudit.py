@@ -1,9 +1,10 @@
 """Filter interaction audit over a sparse document-term matrix.
 
 1. Documents are packed into blocks of bounded text. A block counts its words once, by block-local codes.
-2. The words of all blocks are dealt into buckets by hash. A word's id is its dense rank in its bucket after the
-   distinct words of all buckets before: a contiguous dictionary of the whole corpus without a task that sees it whole.
-3. The ids go back to their blocks, which turn local codes into CSR shards: row i of a shard has the columns
+2. A block sends its distinct words to buckets of the hash space, one row a bucket. A bucket ranks the words of all
+   blocks and answers each block in the order asked. A word's id is its rank after the words of all buckets before:
+   a contiguous dictionary of the whole corpus without a task that sees it whole, and without a row a word.
+3. With the answers a block turns its codes into a CSR shard: row i of a shard has the columns
    ``indices[indptr[i]:indptr[i + 1]]`` and the counts beside them in ``data``.
 4. Row sums are the words of a document, nonzero counts its distinct words: filters A and B. Filters C, D and E are
    attached by document.
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import chain, permutations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -38,8 +40,10 @@ CAPITALS = bytes(range(65, 91))
 CONTINUED = bytes(range(0x80, 0xC0))
 BLOCK = (
     "block string, ids array<long>, parts array<string>, keys array<binary>, flags array<int>, "
-    "lengths binary, codes binary, counts binary, vocabulary array<binary>"
+    "lengths binary, codes binary, counts binary, n_words long, vocabulary binary"
 )
+ASKED = "bucket int, block string, words binary"
+ANSWER = "bucket int, block string, ranks binary, n_words long, words binary"
 SHARD = (
     "shard string, ids array<long>, parts array<string>, keys array<binary>, flags array<int>, "
     "indptr binary, indices binary, data binary"
@@ -47,6 +51,10 @@ SHARD = (
 ROWS = "doc_id long, part string, key binary, words long, distinct_words long, flags int"
 
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 def _text_flags(text: bytes) -> int:
     """Bits of the filters that look at characters only."""
     upper = len(text) - len(text.translate(None, CAPITALS))
@@ -57,19 +65,20 @@ def _text_flags(text: bytes) -> int:
 
 def _block(name: str, ids: list, parts: list, texts: list[bytes]) -> pa.RecordBatch:
     codes, lengths, vocabulary = W.coded([W.space_words(t, lower=False) for t in texts])
-    # Frequent words get small codes, which compress well.
-    order = np.argsort(-np.bincount(codes, minlength=len(vocabulary)), kind="stable")
+    # Codes in the order of hashes: the words of a bucket are neighbours.
+    order = np.argsort(W.hashes(vocabulary), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     owner = np.repeat(np.arange(len(texts)), lengths)
     cell, counts = np.unique(owner * max(len(order), 1) + rank[codes], return_counts=True)
     row, column = np.divmod(cell, max(len(order), 1))
+    words = zstandard.ZstdCompressor(level=1).compress(b" ".join(vocabulary[i] for i in order))
     return pa.RecordBatch.from_arrays([
         pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.string())),
         pa.array([[hashlib.sha256(t).digest() for t in texts]], pa.list_(pa.binary())), pa.array([[_text_flags(t) for t in texts]], pa.list_(pa.int32())),
         pa.array([W.narrow(np.bincount(row, minlength=len(texts)))], pa.binary()), pa.array([W.narrow(column)], pa.binary()),
-        pa.array([W.narrow(counts)], pa.binary()), pa.array([[vocabulary[i] for i in order]], pa.list_(pa.binary())),
-    ], [part.split()[0] for part in BLOCK.split(", ")])
+        pa.array([W.narrow(counts)], pa.binary()), pa.array([len(order)], pa.int64()), pa.array([words], pa.binary()),
+    ], _names(BLOCK))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,56 +106,106 @@ def blocks(docs: DataFrame, part: str = "lang") -> DataFrame:
     ).mapInArrow(_pack, BLOCK))
 
 
-def encoded(packed: DataFrame) -> DataFrame:
-    """(block, code, word, id): every word of every block with its id in the dictionary of the whole corpus."""
-    asked = packed.select("block", F.posexplode("vocabulary").alias("code", "word"))
-    size = packed.agg(F.sum(F.size("vocabulary"))).first()[0] or 0
-    buckets = 1 << max(3, (size // BUCKET_WORDS).bit_length())
-    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    ranked = cut(dealt.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("word"))))
-    # One row a bucket: how many words the buckets before it hold.
-    sizes = ranked.groupBy("bucket").agg(F.max("rank").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return ranked.join(offsets, "bucket").select("block", "code", "word", (F.col("offset") + F.col("rank") - 1).alias("id"))
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
-            lengths = W.widen(row["lengths"].as_py()).astype(np.int64)
-            columns = np.asarray(row["word_ids"].values.to_numpy(zero_copy_only=False))[W.widen(row["codes"].as_py())]
-            counts = W.widen(row["counts"].as_py())
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            sort = np.lexsort((columns, owner))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0)[i:i + 1], *[batch.column(batch.schema.names.index(c))[i:i + 1] for c in ("ids", "parts", "keys", "flags")],
-                pa.array([W.narrow(np.concatenate([[0], np.cumsum(lengths)]))], pa.binary()),
-                pa.array([W.narrow(columns[sort])], pa.binary()), pa.array([W.narrow(counts[sort])], pa.binary()),
-            ], [part.split()[0] for part in SHARD.split(", ")])
-
-
-def matrix(packed: DataFrame, words: DataFrame) -> DataFrame:
-    """CSR shards of the document-term matrix, one for each of the blocks ``packed``, in the ids of ``words``."""
-    back = words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "id"))).alias("found")).select("block", F.col("found.id").alias("word_ids"))
-    none = F.array().cast("array<long>")
-    whole = packed.drop("vocabulary").join(back, "block", "left").withColumn("word_ids", F.coalesce("word_ids", none))
-    return whole.mapInArrow(_shards, SHARD)
+def _ask(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = zstandard.ZstdDecompressor().decompress(packed).split()
+                bucket = (W.hashes(words) >> np.uint64(64 - bits)).astype(np.int64)
+                ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+                some = np.flatnonzero(np.diff(ends))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some.astype(np.int32)), pa.array([block] * len(some), pa.string()),
+                    pa.array([b" ".join(words[ends[b]: ends[b + 1]]) for b in some], pa.binary()),
+                ], _names(ASKED))
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Ranks among the words of one bucket for each block in the order asked; one row of the bucket's words."""
+    asked = table.to_pydict()
+    lists = [words.split() for words in asked["words"]]
+    column = pa.array(chain.from_iterable(lists), pa.binary(), size=sum(map(len, lists))).dictionary_encode()
+    order = pa.compute.sort_indices(column.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ranks, ends = rank[column.indices.to_numpy()], np.cumsum([len(x) for x in lists])
+    n = len(lists)
+    return pa.table({
+        "bucket": pa.array(asked["bucket"] + asked["bucket"][:1], pa.int32()), "block": pa.array(asked["block"] + [None], pa.string()),
+        "ranks": pa.array([W.narrow(ranks[e - len(x): e]) for e, x in zip(ends, lists)] + [None], pa.binary()),
+        "n_words": pa.array([None] * n + [len(order)], pa.int64()),
+        "words": pa.array([None] * n + [b" ".join(column.dictionary.take(order).to_pylist())], pa.binary()),
+    })
+
+
+def dictionary(packed: DataFrame) -> DataFrame:
+    """Stored answers of all buckets to all blocks, with the words of each bucket in the row without block."""
+    size = packed.agg(F.sum("n_words")).first()[0] or 0
+    bits = min(max((size // BUCKET_WORDS).bit_length(), 1), 30)
+    return cut(packed.select("block", "vocabulary").mapInArrow(_ask(bits), ASKED).groupBy("bucket").applyInArrow(_answer, ANSWER))
+
+
+def _offsets(answers: DataFrame) -> dict[int, int]:
+    """How many words come before those of each bucket: one number for about ``BUCKET_WORDS`` words of blocks."""
+    total, before = 0, {}
+    for row in answers.filter("block IS NULL").select("bucket", "n_words").orderBy("bucket").toLocalIterator():
+        before[row["bucket"]] = total
+        total += row["n_words"]
+    return before
+
+
+def words(answers: DataFrame) -> DataFrame:
+    """(id, word): the dictionary as rows."""
+    before = _offsets(answers)
+
+    def run(batches):
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = packed.split()
+                yield pa.RecordBatch.from_arrays([pa.array(before[bucket] + np.arange(len(found))), pa.array(found, pa.binary())], ["id", "word"])
+
+    return answers.filter("block IS NULL").select("bucket", "words").mapInArrow(run, "id long, word binary")
+
+
+def _shards(before: dict[int, int]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = blocks.to_pylist()[0]
+        mine = answers.sort_by("bucket").to_pydict()
+        ids = [before[b] + W.widen(r) for b, r in zip(mine["bucket"], mine["ranks"])]
+        lengths = W.widen(row["lengths"])
+        columns = np.concatenate([np.zeros(0, np.int64), *ids])[W.widen(row["codes"])]
+        sort = np.lexsort((columns, np.repeat(np.arange(len(lengths)), lengths)))
+        return pa.table({
+            "shard": pa.array([row["block"]]), "ids": pa.array([row["ids"]], pa.list_(pa.int64())), "parts": pa.array([row["parts"]], pa.list_(pa.string())),
+            "keys": pa.array([row["keys"]], pa.list_(pa.binary())), "flags": pa.array([row["flags"]], pa.list_(pa.int32())),
+            "indptr": pa.array([W.narrow(np.concatenate([[0], np.cumsum(lengths)]))], pa.binary()),
+            "indices": pa.array([W.narrow(columns[sort])], pa.binary()), "data": pa.array([W.narrow(W.widen(row["counts"])[sort])], pa.binary()),
+        })
+
+    return run
+
+
+def matrix(packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """CSR shards of the document-term matrix, one for each of the blocks ``packed``, in the ids of the dictionary."""
+    asked = answers.filter("block IS NOT NULL").select("block", "bucket", "ranks")
+    whole = packed.drop("n_words", "vocabulary").groupBy("block").cogroup(asked.groupBy("block"))
+    return whole.applyInArrow(_shards(_offsets(answers)), SHARD)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            indptr, data = W.widen(row["indptr"]).astype(np.int64), W.widen(row["data"])
-            sums = np.diff(np.concatenate([[0], np.cumsum(data, dtype=np.int64)])[indptr])
+            indptr, data = W.widen(row["indptr"]), W.widen(row["data"])
+            sums = np.diff(np.concatenate([[0], np.cumsum(data)])[indptr])
             nonzero = np.diff(indptr)
             flags = np.array(row["flags"], np.int64)
             flags += np.where(sums < LEAST_WORDS, 1, 0) + np.where(100 * nonzero < DISTINCT_SHARE * sums, 2, 0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], pa.int64()), pa.array(row["parts"], pa.string()), pa.array(row["keys"], pa.binary()),
                 pa.array(sums), pa.array(nonzero), pa.array(flags.astype(np.int32)),
-            ], [part.split()[0] for part in ROWS.split(", ")])
+            ], _names(ROWS))
 
 
 def flagged(docs: DataFrame, part: str = "lang") -> DataFrame:
@@ -156,7 +215,7 @@ def flagged(docs: DataFrame, part: str = "lang") -> DataFrame:
     and a repetition of nobody; repeated rows of one doc_id are no repetitions of each other.
     """
     packed = blocks(docs, part)
-    rows = cut(matrix(packed, encoded(packed)).mapInArrow(_measured, ROWS))
+    rows = cut(matrix(packed, dictionary(packed)).mapInArrow(_measured, ROWS))
     # Firsts are joined by document, so a text that a third of all documents have is no hot key.
     firsts = rows.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     again = F.when(F.col("first").isNull() & F.col("doc_id").isNotNull(), 16).otherwise(0)

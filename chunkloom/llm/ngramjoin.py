@@ -101,17 +101,19 @@ def gram_sets(lengths: np.ndarray, hashed: np.ndarray, size: int) -> tuple[np.nd
 
 
 def _sets_of(row: dict, size: int):
-    lengths = W.widen(row["lengths"]).astype(np.int64)
+    lengths = W.widen(row["lengths"])
     return lengths, *gram_sets(lengths, np.frombuffer(row["vocabulary"], np.uint64)[W.widen(row["codes"])], size)
 
 
-def _planes(gaps: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes: the high bytes of small gaps compress to nothing."""
-    return np.ascontiguousarray(gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _packed(low: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, and their counts: the length of the first part in four bytes, then both."""
+    gaps = W.narrow(np.diff(low, prepend=np.uint64(0)))
+    return len(gaps).to_bytes(4, "little") + gaps + W.narrow(times)
 
 
-def _from_planes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut_at = 4 + int.from_bytes(packed[:4], "little")
+    return np.cumsum(W.widen(packed[4:cut_at])), W.widen(packed[cut_at:])
 
 
 def _ask(size: int, bits: int):
@@ -128,7 +130,7 @@ def _ask(size: int, bits: int):
                 gaps = []
                 for b in some:
                     part = slice(ends[b], ends[b + 1])
-                    gaps.append(_planes(np.diff(low[part], prepend=np.uint64(0))) + W.narrow(times[part]))
+                    gaps.append(_packed(low[part], times[part]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.astype(np.int32)), pa.array([row["block"]] * len(some), pa.string()), pa.array(gaps, pa.binary())], _names(ASKED)
                 )
@@ -136,15 +138,6 @@ def _ask(size: int, bits: int):
     return run
 
 
-def _unpacked(gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of one request: four bytes a hash, then one width byte and the counts."""
-    for width in (1, 2, 4, 8):
-        n, rest = divmod(len(gaps) - 1, 4 + width)
-        if not rest and gaps[4 * n] == width:
-            return np.cumsum(_from_planes(gaps[:4 * n]), dtype=np.uint64), W.widen(gaps[4 * n:])
-    raise ValueError("a request that isn't whole")
-
-
 def _answer(table: pa.Table) -> pa.Table:
     """Frequency class of each n-gram asked for: 0 for those of one document, else by eighths of powers of two."""
     asked = table.to_pydict()

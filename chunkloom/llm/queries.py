@@ -137,7 +137,7 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 @register("op9_pii")
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with surrogates for personal data."""
-    return pii.anonymise(table(spark, folder, "documents"), ["doc_id"])
+    return pii.anonymise(table(spark, folder, "documents"), ["doc_id"], pii.key_of(spark))
 
 
 @register("op10_tokens")

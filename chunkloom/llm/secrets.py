@@ -4,10 +4,14 @@ All work is column expressions over one text in one row; nothing is shuffled. Of
 lengths of the pieces between them, in code points.
 
 The entropy part looks at candidate strings: runs of 20 or more letters, digits and ``+/_-``. A candidate is of the
-narrowest character class that holds all of it, and each class has its own alphabet and threshold. A window of
-``WINDOW`` characters slides over it; the counts of the alphabet are kept from step to step, one character entering
-and one leaving, and with them the sum of ``c * log2(c)``, which gives the window's entropy. Windows that reach the
-threshold are joined to one span. The allow-list suppresses candidates that are known not to be secrets.
+narrowest character class that holds all of it; upper and lower case are classes of their own, and each class has its
+own alphabet and threshold. A window of ``WINDOW`` characters slides over it; the counts of the alphabet are kept from
+step to step, one character entering and one leaving, and with them the sum of ``c * log2(c)``, which gives the
+window's entropy. Windows that reach the threshold are joined to one span.
+
+The allow-list works on the parts of a candidate between ``/``, ``_`` and ``-``: words, camel-case words, short
+numbers, placeholders, and UUIDs. A window of which more than half lies in such parts is suppressed, so a path or a
+prefix hides no key beside it. No pattern repeats a group, so a match needs no stack, however long the text.
 """
 
 from __future__ import annotations
@@ -22,17 +26,22 @@ HEX = r"[0-9a-f]{16,}"              # [0-9a-f]+ of 16 characters or more, by the
 ASSIGN_LEAST = 12
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
-# Character classes from narrow to wide: name, alphabet after folding, pattern of the whole candidate, bits.
+# Character classes from narrow to wide: name, alphabet, pattern of the whole candidate, bits.
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
-    ("hex", "0123456789abcdef", "^[0-9A-Fa-f]+$", 3.0),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+$", 3.6),
-    ("base64", "0123456789abcdefghijklmnopqrstuvwxyz+/_-", "^[0-9A-Za-z+/_-]+$", 3.7),
-)
-# Candidates that are no secrets: words, numbers, paths and names of words, UUIDs, digests in documentation, repeats.
-ALLOWED = (
-    r"^[A-Za-z]+$", r"^[0-9]+$", r"^[A-Za-z]*[0-9]{0,4}$", r"^[A-Za-z0-9]{0,12}([/_-][A-Za-z]{0,24}|[/_-][0-9]{0,8})+$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|sample|dummy|placeholder|xxxx", r"(.)\1{7}",
+    ("hex", DIGITS + "abcdef", "^[0-9a-f]+$", 3.0), ("upper hex", DIGITS + "ABCDEF", "^[0-9A-F]+$", 3.0),
+    ("lower", LOWER, "^[a-z]+$", 3.8), ("upper", UPPER, "^[A-Z]+$", 3.8),
+    ("lower36", DIGITS + LOWER, "^[0-9a-z]+$", 3.6), ("upper36", DIGITS + UPPER, "^[0-9A-Z]+$", 3.6),
+    ("letters", LOWER + UPPER, "^[A-Za-z]+$", 3.7), ("base62", DIGITS + LOWER + UPPER, "^[0-9A-Za-z]+$", 3.7),
+    ("base64", DIGITS + LOWER + UPPER + "+/_-", "^[0-9A-Za-z+/_-]+$", 3.7),
 )
+# Parts of candidates that are no secrets: what a hump of a camel-case part may be, numbers and versions, placeholders.
+SEPARATOR = "[/_-]"
+HUMP = "(?<=[a-z0-9])(?=[A-Z])"
+WORD = "^[A-Z]?[a-z]{2,24}[0-9]{0,4}$|^[A-Z]{1,12}[0-9]{0,4}$|^[a-z]?[0-9]{0,4}$"
+NUMBER = "^v?[0-9]+$"
+PLACEHOLDER = "(?i)example|sample|dummy|placeholder|xxxx"
+UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -61,15 +70,32 @@ def _xlog(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(count)).otherwise(F.lit(0.0))
 
 
-def _windows(value: Column, alphabet: str, bits: float) -> Column:
+def _known(value: Column) -> Column:
+    """For each character of a candidate whether it is in an allowed part or between parts."""
+    def allowed(part):
+        words = F.forall(F.split(part, HUMP, -1), lambda hump: hump.rlike(WORD))
+        return words | part.rlike(NUMBER) | part.rlike(PLACEHOLDER)
+
+    # A UUID becomes as many separators.
+    parts = F.split(F.regexp_replace(value, UUID, "-" * 36), SEPARATOR, -1)
+    marked = F.transform(parts, lambda p: F.repeat(F.when(allowed(p), F.lit("1")).otherwise(F.lit("0")), F.length(p)))
+    return F.array_join(marked, "1")
+
+
+def _windows(value: Column, known: Column, alphabet: str, bits: float) -> Column:
     """(first, last): hull of the windows of ``value`` whose entropy reaches ``bits``; null without any."""
     size = len(alphabet)
-    folded = F.lower(value)
-    code = lambda i: F.when(i >= 1, F.instr(F.lit(alphabet), F.substring(folded, i, F.lit(1)))).otherwise(F.lit(0))
+    # Characters by position once; a substring at a position would be searched from the start each time.
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c))
+    marks = F.transform(F.split(known, ""), lambda c: (c == "1").cast("int"))
+    pairs = F.arrays_zip(codes.alias("code"), marks.alias("known"))
+    # What enters at a step, and what leaves WINDOW steps later.
+    before = F.array_repeat(F.struct(F.lit(0).alias("code"), F.lit(0).alias("known")), WINDOW)
+    steps = F.arrays_zip(pairs.alias("inn"), F.slice(F.concat(before, pairs), F.lit(1), F.size(pairs)).alias("out"))
     at = lambda counts, k: F.coalesce(F.get(counts, k - 1), F.lit(0))
 
-    def step(s, i):
-        inn, out = code(i), code(i - WINDOW)
+    def step(s, x):
+        inn, out, i = x["inn"]["code"], x["out"]["code"], s["i"] + 1
         entering = at(s["counts"], inn)
         # When the same character enters and leaves, nothing changes.
         leaving = at(s["counts"], out)
@@ -79,38 +105,36 @@ def _windows(value: Column, alphabet: str, bits: float) -> Column:
         counts = F.when(inn == out, s["counts"]).otherwise(
             F.transform(s["counts"], lambda c, k: c + F.when(k == inn - 1, 1).when(k == out - 1, -1).otherwise(0))
         )
-        high = (i >= WINDOW) & (F.log2(F.lit(float(WINDOW))) - moved / WINDOW >= bits)
+        calm = s["known"] + x["inn"]["known"] - x["out"]["known"]
+        high = (i >= WINDOW) & (2 * calm <= WINDOW) & (F.log2(F.lit(float(WINDOW))) - moved / WINDOW >= bits - 1e-9)
         return F.struct(
-            counts.alias("counts"), moved.alias("sum"),
+            i.alias("i"), counts.alias("counts"), moved.alias("sum"), calm.alias("known"),
             F.when(high, F.coalesce(s["first"], i - WINDOW)).otherwise(s["first"]).alias("first"),
             F.when(high, i).otherwise(s["last"]).alias("last"),
         )
 
     start = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"),
+        F.lit(0).alias("i"), F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("known"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(steps, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def _entropy(text: Column) -> Column:
-    """Spans of high entropy in candidates that the allow-list lets through."""
-    def suspicious(c):
-        allowed = F.lit(False)
-        for pattern in ALLOWED:
-            allowed = allowed | c["value"].rlike(pattern)
-        return ~allowed
-
+    """Spans of high entropy in candidates, but for windows that lie in allowed parts."""
     def measured(c):
         hull = F.lit(None).cast("struct<first:int,last:int>")
         for _, alphabet, pattern, bits in reversed(CLASSES):
-            hull = F.when(c["value"].rlike(pattern), _windows(c["value"], alphabet, bits)).otherwise(hull)
+            hull = F.when(c["value"].rlike(pattern), _windows(c["value"], c["known"], alphabet, bits)).otherwise(hull)
         return F.transform(F.array(hull), lambda h: F.struct(
             (c["start"] + h["first"]).alias("start"), c["kind"].alias("kind"), (c["start"] + h["last"]).alias("stop"),
             c["value"].alias("value"), c["ok"].alias("ok"),
         ))[0]
 
-    candidates = F.filter(_spans(text, CANDIDATE, len(KINDS)), suspicious)
+    marked = F.transform(_spans(text, CANDIDATE, len(KINDS)), lambda c: F.struct(
+        *[c[f].alias(f) for f in ("start", "kind", "stop", "value", "ok")], _known(c["value"]).alias("known")
+    ))
+    candidates = F.filter(marked, lambda c: c["known"].contains("0"))
     return F.filter(F.transform(candidates, measured), lambda x: x["start"].isNotNull())
 
 

@@ -24,18 +24,23 @@ ARROW = pa.schema([(n, pa.binary() if n == "block" else pa.string()) for n in FI
 TEXT_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 VERSION = b"WARC/1.1\r\n"
 
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
+MARK = re.compile(r"[>\"']")
 # Only comments, scripts and styles run to the end of a page when they aren't closed.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<run>script|style)(?=[\s/>]|\Z).*?(?:</(?P=run)\s*>|\Z)"
-    r"|<(?P<raw>noscript|template|textarea|svg|head)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r"|<(?P<block>/?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|table|tr|td|th|h[1-6]|nav|article|section|header|footer|main|aside|pre|blockquote|form|figure|title|body|html)\b)"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<(?P<tag>/?[A-Za-z][^\s/>\"']*+)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>", re.S | re.I,
+RUN = {"script", "style"}
+RAW = {"noscript", "template", "textarea", "svg", "head"}
+BLOCKS = set(
+    "p div br hr li ul ol dl dt dd table tr td th h1 h2 h3 h4 h5 h6 nav article section header footer main aside pre blockquote form figure title body html".split()
 )
-ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "textarea", "svg", "title")}
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RUN, "noscript", "template", "textarea", "svg", "title")}
 # Tags that leave a head open; any other one, and text, ends it as </head> does.
 IN_HEAD = {"noscript", "template", "title", "meta", "link", "base", "basefont", "bgsound", "html", "head"}
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+TITLE = re.compile(r"<title\b", re.I)
+META_CHARSET = re.compile(rb"<meta[^>]{0,512}?charset\s{0,8}=\s{0,8}[\"']?([\w.:-]{1,40})", re.I)
+# References to numbers that are no code points, which are too long to be read as numbers.
+TOO_LONG = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 BLANKS = re.compile(r"[^\S\n]+")
+SNIFFED = 1024          # bytes at the start of a page that may name its character set
 
 
 def digest(data: bytes) -> str:
@@ -46,36 +51,112 @@ def derived_id(record_id: str, role: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#{role}')}>"
 
 
+class _TagEnds:
+    """Where the tags of a page end, in time linear in the page over all calls.
+
+    A quoted ``>`` ends no tag, and a tag with a quote that is never closed is none. Every opening quote that a failed
+    search passed is remembered: a later search that comes to one fails there too.
+    """
+
+    def __init__(self, markup: str):
+        self.markup, self.last = markup, markup.rfind(">")
+        self.since = self.first = -1
+        self.failed: set[int] = set()
+
+    def of(self, at: int) -> int:
+        """Position after the ``>`` of the tag whose name ends at ``at``, or -1."""
+        if at > self.last:
+            return -1
+        # Tags are asked for from left to right, so the first mark after a position is looked for once.
+        if not self.since <= at <= self.first:
+            self.since, self.first = at, MARK.search(self.markup, at).start()
+        mark, passed = self.first, []
+        while mark not in self.failed:
+            if self.markup[mark] == ">":
+                return mark + 1
+            passed.append(mark)
+            close = self.markup.find(self.markup[mark], mark + 1)
+            found = MARK.search(self.markup, close + 1) if close >= 0 else None
+            if not found:
+                break
+            mark = found.start()
+        self.failed.update(passed)
+        return -1
+
+
 def plain_text(markup: str) -> str:
     """Text of an HTML page: no markup, scripts, styles or head; blocks on lines of their own, white space joined.
 
     A head without end tag ends at the first text or tag that can't be in it; an element left out that has no end tag
-    loses its tag only, and ``<svg .../>`` is closed.
+    loses its tag only, and ``<svg .../>`` is closed. Each part of the page is read a bounded number of times, whatever
+    is left open in it.
     """
-    out, at, in_head, unclosed = [], 0, False, set()
-    while m := MARKUP.search(markup, at):
-        text, at = markup[at:m.start()], m.end()
+    out, copied, at, in_head, unclosed = [], 0, 0, False, set()
+    ends, last, last_cdata = _TagEnds(markup), markup.rfind(">"), markup.rfind("]]>")
+    while (at := markup.find("<", at)) >= 0:
+        start, name, slash = at, "", markup.startswith("</", at)
+        if markup.startswith("<!--", at):
+            end = markup.find("-->", at + 4) + 3
+            end = end if end > 2 else len(markup)
+        elif markup.startswith("<![CDATA[", at) and last_cdata > at:
+            end = markup.find("]]>", at) + 3
+        elif markup.startswith(("<!", "<?"), at):
+            end = markup.find(">", at) + 1 if last > at else 0
+        else:
+            tag = NAME.match(markup, at + 1 + slash)
+            end = ends.of(tag.end()) if tag else 0
+            name = tag[0].lower() if tag else ""
+            after = markup[tag.end(): tag.end() + 1] if tag else ""
+            if name in RUN and not slash and (after in "/>" or after.isspace()):
+                close = ENDS[name].search(markup, tag.end())
+                end = close.end() if close else len(markup)
+            elif name in RAW and not (after in ("/", ">") or after.isspace()):
+                name = f"{name}{after}"         # some other element
+        if end <= 0:
+            at += 1
+            continue
+        text, at = markup[copied:start], end
         in_head = in_head and not text.strip()
         out.append(text)
-        raw = (m["raw"] or "").lower()
-        name = raw or (m["block"] or m["tag"] or "").lower()
-        if in_head and name and name not in IN_HEAD and (name[0] != "/" or name in ("/head", "/body", "/html", "/br")):
+        run, raw = name in RUN and not slash, name in RAW and not slash
+        if in_head and name and not run and (name not in IN_HEAD if not slash else name in ("head", "body", "html", "br")):
             in_head = False
-        if raw == "head":
+        if raw and name == "head":
             in_head = True
-        elif (raw or (in_head and name == "title")) and name not in unclosed and not (raw == "svg" and m[0].endswith("/>")):
-            end = ENDS[name].search(markup, at)
-            if end:
-                at = end.end()
+        elif (raw or (in_head and name == "title" and not slash)) and name not in unclosed and not (name == "svg" and markup.endswith("/>", start, end)):
+            close = ENDS[name].search(markup, at)
+            if close:
+                at = close.end()
             else:
                 unclosed.add(name)
-        out.append(" " if raw or m["run"] or in_head else "\n" if m["block"] else "")
-    out.append(markup[at:])
-    text = html.unescape("".join(out))
+        out.append(" " if raw or run or in_head else "\n" if name in BLOCKS else "")
+        copied = at
+    out.append(markup[copied:])
+    text = html.unescape(TOO_LONG.sub("\ufffd", "".join(out)))
     lines = (BLANKS.sub(" ", line).strip() for line in text.replace("\r", "\n").split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def title_of(markup: str) -> str | None:
+    """Text of the first title element."""
+    found = TITLE.search(markup)
+    start = markup.find(">", found.end()) + 1 if found else 0
+    end = ENDS["title"].search(markup, start) if start else None
+    return " ".join(html.unescape(TOO_LONG.sub("\ufffd", markup[start:end.start()])).split()) if end else None
+
+
+def charset_of(kind: str, payload: bytes) -> str:
+    """Character set that the header names, else a byte order mark or the page itself, else UTF-8."""
+    named = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
+    if named:
+        return named[1]
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if payload.startswith(mark):
+            return name
+    meta = META_CHARSET.search(payload, 0, SNIFFED)
+    return meta[1].decode() if meta else "utf-8"
+
+
 def split_http(block: bytes) -> tuple[str, bytes]:
     """Head (status line and headers) and payload of an HTTP message; without a head all of it is payload."""
     if not block.startswith(b"HTTP/"):
@@ -109,15 +190,14 @@ def _derive(record: dict) -> list[dict]:
     converted = kind.split(";")[0].strip().lower() in TEXT_TYPES
     out, fields = [], [("source-content-type", kind), ("source-payload-digest", source_payload), ("source-block-digest", source_block)]
     if converted:
-        charset = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
+        plain = kind.lower().startswith("text/plain")
         try:
-            markup = payload.decode(charset[1] if charset else "utf-8", "replace")
-        except LookupError:
+            markup = payload.decode(charset_of(kind, payload), "replace")
+        except (LookupError, UnicodeError):
             markup = payload.decode("utf-8", "replace")
-        plain = kind.lower().startswith("text/plain")
         text = (markup if plain else plain_text(markup)).encode("utf-8", "replace")
-        title = None if plain else TITLE.search(markup)
-        fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
+        title = None if plain else title_of(markup)
+        fields += [("title", title)] if title is not None else []
         fields.append(("conversion", text_id))
         out.append(base | {
             "warc_type": "conversion", "record_id": text_id, "concurrent_to": meta_id, "content_type": "text/plain; charset=utf-8",

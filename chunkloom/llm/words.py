@@ -102,12 +102,15 @@ def blobs(values: np.ndarray, stops: np.ndarray) -> pa.Array:
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Non-negative integers in the fewest bytes each (1, 2, 4 or 8), after one byte that tells the width."""
-    most = int(values.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """Non-negative integers by byte planes of the least width, after one byte that tells it: high planes compress well."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + planes.tobytes()
 
 
 def widen(packed: bytes) -> np.ndarray:
     """The integers of :func:`narrow`."""
-    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+    width = packed[0]
+    out = np.zeros(((len(packed) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<i8").reshape(-1)

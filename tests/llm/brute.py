@@ -13,19 +13,19 @@ def words(text, pattern=SPACE, lower=True):
     return pattern.findall(text.translate(LOWER) if lower else text)
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = words(text)
-    return {tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[i: i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def linked(a, b):
+def linked(a, b, share=75):
     both = len(a & b)
-    return bool(a) and bool(b) and 100 * both >= 75 * (len(a) + len(b) - both)
+    return bool(a) and bool(b) and 100 * both >= share * (len(a) + len(b) - both)
 
 
-def components(docs):
+def components(docs, size=5, share=75):
     """Smallest reachable id of each (id, text); equal ids are one node."""
-    sets = [(i, shingles(t)) for i, t in docs]
+    sets = [(i, shingles(t, size)) for i, t in docs]
     root = {i: i for i, _ in sets}
 
     def find(x):
@@ -35,7 +35,7 @@ def components(docs):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if i != j and find(i) != find(j) and linked(a, b):
+            if i != j and find(i) != find(j) and linked(a, b, share):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: find(i) for i, _ in sets}

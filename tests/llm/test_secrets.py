@@ -19,20 +19,29 @@ def scanned(spark, texts):
     return {r["doc_id"]: r for r in secrets.scan(docs, ["doc_id"]).collect()}
 
 
+def known(value):
+    """Mark of each character by the allow-list."""
+    value = re.sub(secrets.UUID, "-" * 36, value)
+    marks = []
+    for part in re.split(secrets.SEPARATOR, value):
+        humps = re.split(secrets.HUMP, part)
+        calm = all(re.search(secrets.WORD, h) for h in humps) or re.search(secrets.NUMBER, part) or re.search(secrets.PLACEHOLDER, part)
+        marks.append([bool(calm)] * len(part))
+    return [m for i, part in enumerate(marks) for m in ([True] if i else []) + part]
+
+
 def entropy_spans(text):
     """Hulls of windows by recounting every window."""
     out = []
     for m in re.finditer(secrets.CANDIDATE, text or ""):
-        s = m.group()
-        if any(re.search(p, s) for p in secrets.ALLOWED):
-            continue
+        s, marks = m.group(), known(m.group())
         for _, alphabet, pattern, bits in secrets.CLASSES:
             if re.search(pattern, s):
                 high = []
                 for i in range(len(s) - secrets.WINDOW + 1):
-                    w = s[i: i + secrets.WINDOW].lower()
+                    w = s[i: i + secrets.WINDOW]
                     h = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
-                    if h >= bits - 1e-12:
+                    if h >= bits - 1e-9 and 2 * sum(marks[i: i + secrets.WINDOW]) <= secrets.WINDOW:
                         high.append(i)
                 if high:
                     out.append((m.start() + high[0], m.start() + high[-1] + secrets.WINDOW))
@@ -69,6 +78,25 @@ def test_base_and_entropy_equal_brute_force(spark):
 
 
 def test_allow_list(spark):
-    calm = ["https/docs/guide/page/index-of-things", "123e4567-e89b-12d3-a456-426614174000", "x" * 40, "1234567890123456789012345", "EXAMPLEq8Zk2mVt7Rw1xPz9LbN"]
-    assert all(not r["n_entropy"] for r in scanned(spark, calm).values())
+    calm = ["https/docs/guide/page/index-of-things", "123e4567-e89b-12d3-a456-426614174000", "x" * 40, "1234567890123456789012345", "EXAMPLEq8Zk2mVt7Rw1xPz9LbN",
+            "src/main/java/org/someProject/ChunkedInputStreamReader2", "Donaudampfschifffahrts", "/a" * 30, "SOME_LONG_CONSTANT_NAME_OF_4", "v1/2024-01-02/release-notes-of-2024"]
+    assert [i for i, r in scanned(spark, calm).items() if r["n_entropy"]] == []
     assert scanned(spark, []) == {}
+
+
+def test_keys_beside_allowed_parts(spark):
+    keys = ["sk-qZrTyWnBvKxLpMdHsGfJc", "/sample/q8Zk2mVt7Rw1xPz9LbNq4", "qZrTyWnBvKxLpMdHsGfJcQq", "docs/guide/page/q8Zk2mVt7Rw1xPz9LbNq4Xc", "AAAAAAAAAAAAAAAAq8Zk2mVt7Rw1xPz9LbNq4Xc",
+            "prefix-123e4567-e89b-12d3-a456-426614174000-q8Zk2mVt7Rw1xPz9LbNq4Xc"]
+    rows = scanned(spark, keys)
+    assert [rows[i]["n_entropy"] for i in range(len(keys))] == [1] * len(keys)
+    assert all(rows[i]["spans"] == ",".join(f"entropy:{a}:{b}" for a, b in entropy_spans(k)) for i, k in enumerate(keys))
+
+
+def test_long_runs_need_no_stack(spark):
+    rng = random.Random(1)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    key = "".join(rng.choices(alphabet, k=30_000))
+    texts = ["-" * 60_000, "_" * 60_000, "/a" * 60_000, "a/" * 1500, "aB" * 30_000, "a1-" * 20_000, "x" * 60_000, key, "password " * 20_000, "token" + " " * 60_000]
+    rows = scanned(spark, texts)
+    assert rows[7]["spans"] == f"entropy:{entropy_spans(key[:3000])[0][0]}:{30_000 - 3000 + entropy_spans(key[-3000:])[0][1]}"
+    assert [rows[i]["n_entropy"] for i in (0, 1, 2, 3, 6, 8, 9)] == [0] * 7

@@ -110,5 +110,27 @@ def test_text_after_elements_left_open():
     assert {k: warc.plain_text(k) for k in cases} == cases
 
 
-def test_many_elements_left_open_take_linear_time():
+def test_pages_left_open_take_linear_time():
+    """About 1 MB each of what makes a scanner start again and again."""
     assert warc.plain_text("<svg>a " * 200_000).count("a") == 200_000
+    for part in ("<p ", "<![CDATA[ ", "<a", "<p \"x\" ", "<p '", "<!", "<!--", "</", "<title ", "<title>", "&#9", "<script", "<p \">\" "):
+        many = part * (1_000_000 // len(part))
+        for tail in ("", ">", "'", "\"", "\"x\" '", "]]>", "'>x"):
+            warc.plain_text(many + tail)
+            warc.title_of(many + tail)
+    assert warc.plain_text("a <p " * 3 + "b") == "a <p a <p a <p b"
+    assert warc.plain_text("<p a=\">\" b='x>c") == "<p a=\">\" b='x>c"
+
+
+def test_character_sets_of_pages():
+    cafe = "<p>caf\u00e9"
+    assert warc.charset_of("text/html; charset=latin-1", b"") == "latin-1"
+    for payload in (cafe.encode(), cafe.encode("utf-8-sig"), cafe.encode("utf-16"), b"<meta charset='latin-1'>" + cafe.encode("latin-1"),
+                    b"<META http-equiv=Content-Type content=\"text/html; charset = iso-8859-1\">" + cafe.encode("latin-1"),
+                    b"<meta charset=no-such-set>" + cafe.encode()):
+        record = warc._derive({**response(1), "block": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload})[1]
+        assert record["block"].decode() == "caf\u00e9"
+
+
+def test_references_to_no_character():
+    assert warc.plain_text("a&#" + "9" * 6000 + ";b&#x" + "f" * 9000 + ";c&#65;") == "a\ufffdb\ufffdcA"
