@@ -355,7 +355,8 @@ def anonymise(docs: DataFrame, keep: list[str], secret: str) -> DataFrame:
     """``keep`` columns and text of every row after replacement, with the number of entities of each kind."""
     columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
     done = _replaced(docs.select(*[docs[f"`{c}`"] for c in columns]), secret).withColumn("kinds", F.transform("found", kind_of))
-    counted = [F.size(F.filter("kinds", lambda k, kind=kind: k == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
+    counted = [count(kind).alias(f"n_{kind}") for kind in KINDS]
     return done.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c in keep or c == "text"],
         F.size(F.filter("kinds", lambda k: k.isNotNull())).cast("long").alias("n_entities"), *counted,

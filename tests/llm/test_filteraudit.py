@@ -22,8 +22,9 @@ def failed(rows):
 
 def expected(rows, labels):
     fails = failed(rows)
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    # A label without doc_id belongs to nobody, not to the rows without doc_id.
+    good = {d for d, q, _ in labels if q == 1} - {None}
+    toxic = {d for d, _, t in labels if t == 1} - {None}
     out = {}
     for part in {r[2] or "" for r in rows}:
         mine = [i for i, r in enumerate(rows) if (r[2] or "") == part]
