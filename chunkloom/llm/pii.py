@@ -181,8 +181,8 @@ def _seed(secret: str, what: Column, attempt: Column | None = None) -> Column:
 
 def _decimal(seed: Column) -> Column:
     """60 digits, all equally likely but for one in a thousand: the last 15 of each 60 bits."""
-    part = lambda i: F.lpad(F.conv(F.substring(seed, 15 * i + 1, 15), 16, 10), 18, "0")
-    return F.concat(*[F.substring(part(i), 4, 15) for i in range(4)])
+    part = lambda i: F.lpad(F.conv(F.substring(seed, 15 * i + 1, 15), 16, 10), 19, "0")
+    return F.concat(*[F.substring(part(i), 5, 15) for i in range(4)])
 
 
 def _luhn(digits: Column) -> Column:
