@@ -5,9 +5,10 @@ from pyspark.sql import Window, functions as F
 from chunkloom.catalog.base import (
     BM25, BENCH_QUERIES, DENSE, bench_queries, doc_chunks, doc_vectors, hybrid_ctes, register, table,
 )
-from chunkloom.operators import bm25, dense, fusion, rerank
+from chunkloom.operators import bm25, dense, fusion, ivf, rerank
 from chunkloom.operators.search import as_citations
 from chunkloom.plans.retrieval import answer, hybrid_search
+from chunkloom.session import cut
 
 
 @register(
@@ -75,6 +76,34 @@ def lsh_topk(spark, folder):
     )
 
 
+@register(
+    "ivf_topk",
+    """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
+q AS (SELECT v.* FROM benchmark b JOIN v ON v.vec_id = b.item_id)
+SELECT q.vec_id AS query_id, least(20, (SELECT count(*) FROM v)) AS n_hits, 1.0::DOUBLE AS best_score,
+       (SELECT count(*) FROM v) AS n_vectors, true AS recall_reached, true AS all_exact
+FROM q""",
+)
+def ivf_topk(spark, folder):
+    """Inverted-file search of all vectors as one repository: hits of each query, and the recall of 0.9 over all queries."""
+    vectors = table(spark, folder, "embeddings").select(F.lit("all").alias("repository_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("chunk_id"))
+    queries = vectors.join(items, "chunk_id").withColumnRenamed("chunk_id", "query_id")
+    index = ivf.build(vectors, queries)
+    near = cut(ivf.search(queries, index))
+    exact = dense.knn(queries, vectors).select("query_id", "chunk_id", F.col("dense_score").alias("exact_score"))
+    met = exact.join(near.select("query_id", "chunk_id", "dense_score"), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        F.count("exact_score").alias("wanted"), F.count("dense_score").alias("found"),
+        F.coalesce(F.bool_and(F.col("dense_score") == F.col("exact_score")), F.lit(True)).alias("all_exact"),
+    )
+    total = met.agg(F.sum("found").alias("found"), F.sum("wanted").alias("wanted")).first()
+    reached = F.lit((total["found"] or 0) >= 0.9 * (total["wanted"] or 0)).alias("recall_reached")
+    hits = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.round(F.max("dense_score"), 6).alias("best_score"))
+    sizes = ivf.scored_pairs(queries, index).select("query_id", F.col("pairs").alias("n_vectors"))
+    return hits.join(met.select("query_id", "all_exact"), "query_id").join(sizes, "query_id").withColumn("recall_reached", reached)
+
+
 @register(
     "rrf_fusion",
     "WITH" + BM25 + "," + DENSE + """

@@ -114,9 +114,10 @@ def scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame | None = None, k: int = BM25_CANDIDATES, index: Bm25Index | None = None
+    queries: DataFrame, chunks: DataFrame | None = None, k: int | None = BM25_CANDIDATES, index: Bm25Index | None = None
 ) -> DataFrame:
-    """Top ``k`` chunks per query (rank from 1). ``queries`` has repository_id, query_id, query."""
+    """Top ``k`` chunks per query (rank from 1), all with None. ``queries`` has repository_id, query_id, query."""
     index = index or build_index(chunks)
     best = Window.partitionBy("repository_id", "query_id").orderBy(F.desc("bm25_score"), "chunk_id")
-    return scores(queries, index).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = scores(queries, index).withColumn("rank", F.row_number().over(best))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)

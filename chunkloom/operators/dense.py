@@ -38,9 +38,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k best scores per row set; every tie with the k-th is kept."""
-    if scores.shape[0] <= k:
+def _best(scores: np.ndarray, ids: np.ndarray, k: int | None) -> np.ndarray:
+    """Column positions of the k best scores per row set, ties by id; all without ``k``."""
+    if k is None or scores.shape[0] <= k:
         return np.arange(scores.shape[0])
     kth = np.partition(scores, -k)[-k]
     keep = np.flatnonzero(scores >= kth)
@@ -170,28 +170,29 @@ def _grid_topk(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int)
     return q.groupBy(*cell).cogroup(v.groupBy(*cell)).applyInArrow(score, schema)
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
+def _top(hits: DataFrame, k: int | None) -> DataFrame:
     best = Window.partitionBy("repository_id", "query_id").orderBy(F.desc("dense_score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(best))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def knn(
-    queries: DataFrame, vectors: DataFrame, k: int = DENSE_CANDIDATES, broadcast_bytes: int = BROADCAST_BYTES
+    queries: DataFrame, vectors: DataFrame, k: int | None = DENSE_CANDIDATES, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Exact top ``k`` by cosine inside the query's repository.
+    """Exact top ``k`` by cosine inside the query's repository; None ranks all its vectors.
 
     ``queries``: repository_id, query_id, embedding; ``vectors``: repository_id, chunk_id, embedding.
     A query batch that measures under ``broadcast_bytes`` goes to the vectors; a larger one is met
-    in the cell grid. Both give the same rows.
+    in the cell grid, and so is a search without ``k``, as a task would hold all its hits. Both give the same rows.
     """
     asked = queries.select("repository_id", "query_id", "embedding")
-    if is_small(asked, broadcast_bytes):
+    if k is not None and is_small(asked, broadcast_bytes):
         return _top(_scan_topk(asked, vectors, k), k)
     return _top(_grid_topk(asked, vectors, ["repository_id"], k), k)
 
 
 def knn_lsh(
-    queries: DataFrame, vectors: DataFrame, k: int = DENSE_CANDIDATES,
+    queries: DataFrame, vectors: DataFrame, k: int | None = DENSE_CANDIDATES,
     tables: int = 16, bucket_length: float = 0.5, seed: int = 7,
 ) -> DataFrame:
     """Approximate top ``k``: random-projection buckets give candidates, exact cosine ranks them.

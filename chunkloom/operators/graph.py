@@ -192,8 +192,8 @@ def stats(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def expand(seeds: DataFrame, edges: DataFrame, k: int = NEIGHBOUR_CAP) -> DataFrame:
-    """One-hop neighbours of each seed set in either direction, at most ``k``, seeds left out.
+def expand(seeds: DataFrame, edges: DataFrame, k: int | None = NEIGHBOUR_CAP) -> DataFrame:
+    """One-hop neighbours of each seed set in either direction, at most ``k`` (all with None), seeds left out.
 
     ``seeds``: set_id, repository_id, chunk_id; ``edges`` is read twice, so pass a stored table.
     Neighbours are collapsed before they are ranked, and
@@ -210,10 +210,11 @@ def expand(seeds: DataFrame, edges: DataFrame, k: int = NEIGHBOUR_CAP) -> DataFr
         .join(seed.withColumnRenamed("chunk_id", "neighbour_id"), ["set_id", "repository_id", "neighbour_id"], "left_anti")
     )
     order = Window.partitionBy("set_id").orderBy("edge_type", "neighbour_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = NEIGHBOUR_CAP) -> DataFrame:
+def neighbours(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, k: int | None = NEIGHBOUR_CAP) -> DataFrame:
     """Neighbour chunks as search rows with score 0."""
     near = expand(seeds, edges, k).withColumnRenamed("neighbour_id", "chunk_id")
     return chunks.join(near.select("set_id", "repository_id", "chunk_id", "rank"), ["repository_id", "chunk_id"]).withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions.content import label
-from chunkloom.operators import bm25, dense, fusion, rerank
+from chunkloom.operators import bm25, dense, fusion, ivf, rerank
 from chunkloom.operators.search import check_top_k, validate_queries
 from chunkloom.schemas import BM25_CANDIDATES, CHAT_TOP_K, DEFAULT_TOP_K, DENSE_CANDIDATES
 from chunkloom.session import cut
@@ -18,20 +18,25 @@ HIT_FIELDS = ["file_path", "language", "symbol", "kind", "start_line", "end_line
 def hybrid_search(
     queries: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int = DEFAULT_TOP_K,
     scorer: Callable[[Column, Column], Column] | None = None, index: bm25.Bm25Index | None = None,
-    approximate: bool = False, dense_candidates: int = DENSE_CANDIDATES, lexical_candidates: int = BM25_CANDIDATES,
+    approximate: bool = False, dense_candidates: int | None = DENSE_CANDIDATES, lexical_candidates: int | None = BM25_CANDIDATES,
+    lists: ivf.IvfIndex | None = None,
 ) -> DataFrame:
     """Dense and BM25 candidates, fused by reciprocal rank, joined to chunks, reranked and cut.
 
     ``queries``: repository_id, query_id, query, embedding. The order is by fused score; the
     reported ``score`` is the cosine where the chunk was a dense hit, else the fused value. A
     ``top_k`` column in ``queries`` overrides the argument per query. ``dense_candidates`` and ``lexical_candidates`` are
-    how many of each list are fused; results beyond their sum need larger ones.
+    how many of each list are fused, all with None; results beyond their sum need larger ones. ``lists`` is an inverted
+    file of ``vectors`` that is searched in place of them.
     """
     check_top_k(top_k)
     asked = validate_queries(queries)
     if "top_k" not in asked.columns:
         asked = asked.withColumn("top_k", F.lit(top_k))
-    near = (dense.knn_lsh if approximate else dense.knn)(asked, vectors, dense_candidates)
+    if lists is not None:
+        near = ivf.search(asked, lists, dense_candidates)
+    else:
+        near = (dense.knn_lsh if approximate else dense.knn)(asked, vectors, dense_candidates)
     lexical = bm25.search(asked, chunks, lexical_candidates, index)
     key = ["repository_id", "query_id", "chunk_id"]
     merged = near.select(
