@@ -96,7 +96,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     A null or empty text is a document without words. Rows with equal ids are documents of their own.
     """
-    return cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")).mapInArrow(_index, INDEX))
+    return cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text")).mapInArrow(W.tidy(_index), INDEX))
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -208,6 +208,7 @@ def _searched(search):
             items += [item] * len(rows)
             spans.append(rows)
         spans = np.concatenate(spans)
+        W.give_back()  # of the words looked up; the next group builds its own
         ordinal = segment.ordinals(spans[:, 0])
         base = segment.bases[ordinal] if len(ordinal) else spans[:, 0]
         return pa.table({

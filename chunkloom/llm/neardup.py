@@ -71,12 +71,12 @@ SETS = "doc_id long, n_shingles long, h1 long, h2 long, values array<long>"
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, values): set size, 128-bit key of the set, and its K smallest hashes in order."""
-    return _source(docs).mapInArrow(lambda it: _sets(it, K), SETS)
+    return _source(docs).mapInArrow(W.tidy(lambda it: _sets(it, K)), SETS)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """As :func:`sketches`, but ``values`` is the whole sorted set."""
-    return _source(docs).mapInArrow(lambda it: _sets(it, None), SETS)
+    return _source(docs).mapInArrow(W.tidy(lambda it: _sets(it, None)), SETS)
 
 
 def _of_nodes(sets: DataFrame, classes: DataFrame) -> DataFrame:

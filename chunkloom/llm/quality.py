@@ -138,7 +138,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """Counts of each of the ``CELLS`` over all documents (row 0) and over the trusted ones (row 1)."""
     counted = (
         _flagged(docs, trusted, [docs["text"].cast("binary").alias("text")])
-        .mapInArrow(_count, "cell int, raw long, trusted long")
+        .mapInArrow(W.tidy(_count), "cell int, raw long, trusted long")
         .groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
         .toArrow()  # at most CELLS rows
     )
@@ -229,7 +229,7 @@ def measure(docs: DataFrame, model: np.ndarray, trusted: DataFrame, keep: list[s
     source = _flagged(docs, trusted, columns)
     names = [f.name for f in source.schema.fields if f.name in keep]
     schema = ", ".join(f"`{n}` {source.schema[n].dataType.simpleString()}" for n in names)
-    rows = source.mapInArrow(_scorer(model, names), f"{schema}, {MEASURES}")
+    rows = source.mapInArrow(W.tidy(_scorer(model, names)), f"{schema}, {MEASURES}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
