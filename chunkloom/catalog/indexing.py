@@ -89,6 +89,19 @@ def removed_files(spark, folder):
     return snapshot.removed(hashed(old_files(spark, folder)), hashed(new_files(spark, folder)))
 
 
+def left_over(spark, folder):
+    """Texts of the deleted and of the new files that exact pairing leaves over."""
+    old, new = old_files(spark, folder), new_files(spark, folder)
+    changes = cut(snapshot.diff(hashed(old), hashed(new)))
+    exact = snapshot.pair_renames(changes)
+    key = ["repository_id", "path"]
+    text = lambda files: files.select(*key, F.col("content").cast("string").alias("text"))
+    gone = changes.filter("status = 'deleted'").select(*key).join(
+        exact.select("repository_id", F.col("old_path").alias("path")), key, "left_anti")
+    came = changes.filter("status = 'new'").select(*key).join(exact.select(*key), key, "left_anti")
+    return cut(text(old).join(gone, key)), cut(text(new).join(came, key))
+
+
 @register("rename_pairs", SNAPSHOTS + " SELECT repository_id, hash AS content_hash, old_path, path FROM renames")
 def rename_pairs(spark, folder):
     return snapshot.pair_renames(changes_of(spark, folder))
@@ -120,16 +133,56 @@ SELECT repository_id, old_path, path, round(ratio, 6) AS ratio FROM ranked WHERE
 )
 def similar_renames(spark, folder):
     """Moves with edits among the files that exact pairing left over."""
-    old, new = old_files(spark, folder), new_files(spark, folder)
-    changes = cut(snapshot.diff(hashed(old), hashed(new)))
-    exact = snapshot.pair_renames(changes)
-    key = ["repository_id", "path"]
-    text = lambda files: files.select(*key, F.col("content").cast("string").alias("text"))
-    gone = changes.filter("status = 'deleted'").select(*key).join(
-        exact.select("repository_id", F.col("old_path").alias("path")), key, "left_anti")
-    came = changes.filter("status = 'new'").select(*key).join(exact.select(*key), key, "left_anti")
-    pairs = snapshot.pair_similar_renames(cut(text(old).join(gone, key)), cut(text(new).join(came, key)))
-    return pairs.withColumn("ratio", F.round("ratio", 6))
+    return snapshot.pair_similar_renames(*left_over(spark, folder)).withColumn("ratio", F.round("ratio", 6))
+
+
+# All candidates in one order, each kept if both its files are free: pairs of classes by falling ratio and the MD5 of the
+# classes' names, inside a pair of classes by path.
+EDITED_RENAMES = (
+    SNAPSHOTS.replace("WITH ", "WITH RECURSIVE ", 1) + r""",
+left_gone AS (
+  SELECT repository_id, path, text FROM old_files f
+  WHERE NOT EXISTS (SELECT 1 FROM new_files n WHERE n.repository_id = f.repository_id AND n.path = f.path)
+    AND NOT EXISTS (SELECT 1 FROM renames r WHERE r.repository_id = f.repository_id AND r.old_path = f.path)),
+left_came AS (
+  SELECT repository_id, path, text FROM new_files f
+  WHERE NOT EXISTS (SELECT 1 FROM old_files n WHERE n.repository_id = f.repository_id AND n.path = f.path)
+    AND NOT EXISTS (SELECT 1 FROM renames r WHERE r.repository_id = f.repository_id AND r.path = f.path)),
+ol AS (SELECT repository_id, path, list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]'))) AS ls FROM left_gone),
+nl AS (SELECT repository_id, path, list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]'))) AS ls FROM left_came),
+pairs AS (
+  SELECT o.repository_id, o.path AS old_path, n.path, len(list_intersect(o.ls, n.ls)) AS shared, len(o.ls) AS a, len(n.ls) AS b
+  FROM ol o JOIN nl n USING (repository_id)),
+scored AS (
+  SELECT repository_id, old_path, path, shared::DOUBLE / (a + b - shared) AS ratio FROM pairs
+  WHERE a > 0 AND b > 0 AND shared::DOUBLE / (a + b - shared) >= 0.5),
+classes AS (
+  SELECT repository_id, 'o' AS side, path, min(path) OVER (PARTITION BY repository_id, list_sort(ls)) AS class FROM ol WHERE len(ls) > 0
+  UNION ALL SELECT repository_id, 'n', path, min(path) OVER (PARTITION BY repository_id, list_sort(ls)) FROM nl WHERE len(ls) > 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY repository_id, side, class ORDER BY substr(sha256(path), 1, 2), path) AS number FROM classes),
+ordered AS (
+  SELECT s.*, row_number() OVER (
+    PARTITION BY s.repository_id ORDER BY s.ratio DESC, md5(o.class || chr(31) || n.class), o.number, n.number) AS i
+  FROM scored s JOIN placed o ON o.side = 'o' AND o.repository_id = s.repository_id AND o.path = s.old_path
+  JOIN placed n ON n.side = 'n' AND n.repository_id = s.repository_id AND n.path = s.path),
+fold(repository_id, i, used_old, used_new) AS (
+  SELECT DISTINCT repository_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM ordered
+  UNION ALL
+  SELECT f.repository_id, c.i,
+         CASE WHEN list_contains(used_old, old_path) OR list_contains(used_new, path) THEN used_old ELSE list_append(used_old, old_path) END,
+         CASE WHEN list_contains(used_old, old_path) OR list_contains(used_new, path) THEN used_new ELSE list_append(used_new, path) END
+  FROM fold f JOIN ordered c ON c.repository_id = f.repository_id AND c.i = f.i + 1),
+last AS (SELECT repository_id, max_by(used_old, i) AS used_old, max_by(used_new, i) AS used_new FROM fold GROUP BY repository_id),
+matched AS (SELECT repository_id, unnest(used_old) AS old_path, unnest(used_new) AS path FROM last)"""
+)
+
+
+@register("edited_renames", EDITED_RENAMES + " SELECT repository_id, old_path, path, round(ratio, 6) AS ratio FROM matched JOIN scored USING (repository_id, old_path, path)")
+def edited_renames(spark, folder):
+    """Every deleted file and every new one in at most one pair, until no similar pair is left."""
+    gone, came = left_over(spark, folder)
+    return snapshot.match_similar_renames(gone, came).withColumn("ratio", F.round("ratio", 6))
 
 
 @register(

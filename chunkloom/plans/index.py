@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chunkloom.operators import embed as embedding
 from chunkloom.operators import incremental, snapshot
-from chunkloom.functions import detect_language
+from chunkloom.functions import decode_lenient, detect_language, looks_binary
 from chunkloom.operators.chunking import chunk_corpus
 from chunkloom.session import cut
 from chunkloom.schemas import CHUNKS, INDEXED_FILES, MAX_FILE_BYTES, VECTORS
@@ -129,11 +129,25 @@ def incremental_index(
     return apply_decisions(decisions, prior, embed, with_imports)
 
 
-def diff_of(prior_files: DataFrame, files: DataFrame) -> DataFrame:
+def diff_of(prior_files: DataFrame, files: DataFrame, prior_snapshot: DataFrame | None = None, min_ratio: float = 0.5) -> DataFrame:
     """Diff entries of a new snapshot against the indexed files, with exact renames paired.
 
-    The differing paths (hashes only, no content) are stored once: pairing reads them five times.
+    The differing paths (hashes only, no content) are stored once: pairing reads them five times. With the files of
+    the ``prior_snapshot`` at hand, moves with edits are paired too, among what exact pairing leaves over; only those
+    files' contents are read. Binary files and paths that are not in the snapshots are never paired that way.
     """
     new = files.select("repository_id", "path", F.sha2("content", 256).alias("content_hash"))
     changes = cut(snapshot.diff(prior_files, new).filter(F.col("status") != "unchanged"))
-    return snapshot.name_status(changes, snapshot.pair_renames(changes))
+    renames = snapshot.pair_renames(changes)
+    if prior_snapshot is not None:
+        renames = cut(renames)
+        key = ["repository_id", "path"]
+        gone = changes.filter("status = 'deleted'").select(*key).join(
+            renames.select("repository_id", F.col("old_path").alias("path")), key, "left_anti")
+        came = changes.filter("status = 'new'").select(*key).join(renames.select(*key), key, "left_anti")
+        text = lambda tree, wanted: cut(
+            tree.join(wanted, key, "left_semi").filter(F.col("content").isNotNull() & ~looks_binary("content"))
+            .select(*key, decode_lenient("content").alias("text")))
+        edited = snapshot.match_similar_renames(text(prior_snapshot, gone), text(files, came), min_ratio)
+        renames = cut(renames.select("repository_id", "old_path", "path").unionByName(edited.select("repository_id", "old_path", "path")))
+    return snapshot.name_status(changes, renames)

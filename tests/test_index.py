@@ -111,3 +111,54 @@ def test_vector_equals_standard_generator():
     norm = sum(v * v for v in raw) ** 0.5
     got = embed.hash_seeded_vector(text, 32)
     assert max(abs(g - v / norm) for g, v in zip(got, raw)) < 1e-12
+
+
+def greedy(old, new, least=0.5):
+    """Pairs by falling ratio, ties by the MD5 of the classes' smallest paths, then by bucketed path; each file once."""
+    import hashlib
+
+    sets = lambda side: {p: frozenset(x for x in t.split("\n") if x.strip()) for p, t in side.items()}
+    a, b = sets(old), sets(new)
+    name = lambda side, p: min(q for q in side if side[q] == side[p])
+    place = lambda p: (hashlib.sha256(p.encode()).hexdigest()[:2], p)
+    edges = []
+    for o in a:
+        for n in b:
+            if a[o] and b[n] and len(a[o] & b[n]) >= least * len(a[o] | b[n]):
+                tie = hashlib.md5(f"{name(a, o)}\x1f{name(b, n)}".encode()).hexdigest()
+                edges.append((-len(a[o] & b[n]) / len(a[o] | b[n]), tie, place(o), place(n), o, n))
+    used, out = set(), set()
+    for *_, o, n in sorted(edges):
+        if ("o", o) not in used and ("n", n) not in used:
+            used |= {("o", o), ("n", n)}
+            out.add((o, n))
+    return out
+
+
+def test_similar_renames_until_none_is_left(spark):
+    import random
+
+    rng = random.Random(5)
+    tree = lambda name, k: {f"{name}{i}": "\n".join(rng.sample("uvwxyz", rng.randint(3, 5)) if i % 3 else "uvwx") for i in range(k)}
+    old, new = tree("o", 14) | {"blank": " \n\n"}, tree("n", 12) | {"empty": ""}
+    frame = lambda side: spark.createDataFrame([("r", p, t) for p, t in side.items()], "repository_id string, path string, text string")
+    got = [(r.old_path, r.path) for r in snapshot.match_similar_renames(frame(old), frame(new)).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(old, new)
+    assert len(got) > snapshot.pair_similar_renames(frame(old), frame(new)).count()
+    assert snapshot.match_similar_renames(frame({}), frame(new)).count() == 0
+
+
+def test_edited_move_keeps_its_file_id_and_chunks(spark):
+    fn = embed.deterministic(8)
+    old = {"oven.py": "def preheat():\n    return 180\n\n\ndef bake(dough):\n    return dough\n", "same.py": "x = 1\n", "gone.py": "del y\n"}
+    new = {"bakery/oven.py": old["oven.py"] + "\n\ndef rest():\n    return 5\n", "same.py": "x = 1\n", "fresh.py": "z = 3\n"}
+    first = settle(full_index(files(spark, old), empty_corpus(spark), fn).corpus)
+    diff = cut(diff_of(first.files, files(spark, new), files(spark, old)))
+    assert {tuple(r)[1:] for r in diff.collect()} == {
+        ("renamed", "bakery/oven.py", "oven.py"), ("deleted", "gone.py", None), ("added", "fresh.py", None)}
+    result = incremental_index(diff, files(spark, new), first, fn)
+    before = {r.symbol: (r.file_id, r.chunk_id) for r in first.chunks.filter("file_path = 'oven.py'").collect()}
+    after = {r.symbol: (r.file_id, r.chunk_id) for r in result.corpus.chunks.filter("file_path = 'bakery/oven.py'").collect()}
+    assert before and before.items() <= after.items() and "rest" in after
+    assert {r.op for r in result.chunk_ops.filter("file_path = 'bakery/oven.py'").collect()} == {"reuse", "embed"}
+    assert chunk_set(result.corpus) == chunk_set(full_index(files(spark, new), empty_corpus(spark), fn).corpus)
