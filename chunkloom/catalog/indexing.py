@@ -12,6 +12,7 @@ from chunkloom.catalog.text import FILES_SQL, LANGUAGE_SQL, documents_as_files
 from chunkloom.functions import content_hash, detect_language
 from chunkloom.operators import embed, incremental, snapshot, status
 from chunkloom.operators.chunking import chunk_corpus
+from chunkloom.plans import jobs as index_jobs
 from chunkloom.plans.index import Corpus, apply_decisions, diff_of, empty_corpus, full_index, incremental_index
 from chunkloom.session import cut
 from chunkloom.sources.diffs import read_name_status
@@ -354,6 +355,58 @@ def full_index_query(spark, folder):
     return full_index(tracked, prior_corpus(spark, folder)).corpus.chunks.select(CHUNK_OUT)
 
 
+# Jobs of the repositories by the first hex digit of their hashed name: no new commit, no known base, or a new commit
+# over a known one. Files of the new snapshot whose hashed path begins with an e can't be read.
+JOB_KIND = "CASE WHEN substring(sha2(repository_id, 256), 1, 1) IN ('0', '1', '2', '3') THEN 'no_op' WHEN substring(sha2(repository_id, 256), 1, 1) IN ('4', '5', '6', '7') THEN 'full' ELSE 'step' END"
+JOB_KIND_SQL = JOB_KIND.replace("sha2(repository_id, 256)", "sha256(repository_id)")
+JOBS = (
+    MERGE.replace("new_files AS (\n", "all_new AS (\n", 1)
+    .replace("indexed AS (\n", f"""kinds AS (SELECT DISTINCT repository_id, {JOB_KIND_SQL} AS kind FROM klassed),
+new_files AS (
+  SELECT * FROM all_new WHERE sha256(path) NOT LIKE 'e%' AND repository_id NOT IN (SELECT repository_id FROM kinds WHERE kind = 'no_op')),
+indexed AS (
+""", 1)
+    .replace("AS language FROM old_files)", """AS language FROM old_files f
+    WHERE repository_id IN (SELECT repository_id FROM kinds WHERE kind = 'step')
+      AND NOT EXISTS (SELECT 1 FROM all_new n WHERE n.repository_id = f.repository_id AND n.path = f.path AND sha256(n.path) LIKE 'e%'))""", 1)
+    + f""",
+chunk_counts AS (
+  SELECT repository_id, count(*) FILTER (WHERE op = 'embed') AS created, count(*) FILTER (WHERE op = 'delete') AS stale FROM ops GROUP BY ALL),
+dropped AS (
+  SELECT c.repository_id, count(*) AS n FROM old_chunks c JOIN decided d ON d.action = 'delete' AND d.repository_id = c.repository_id
+    AND c.path = coalesce(d.old_path, d.path) GROUP BY ALL),
+whole AS (SELECT repository_id, count(DISTINCT (path, content_hash)) AS n FROM new_re GROUP BY ALL),
+failed AS (
+  SELECT repository_id, count(*) AS n FROM all_new JOIN kinds USING (repository_id)
+  WHERE kind <> 'no_op' AND sha256(path) LIKE 'e%' AND {LANGUAGE_SQL} IS NOT NULL GROUP BY ALL),
+acted AS (
+  SELECT repository_id, count(*) AS files_discovered, count(*) FILTER (WHERE action = 'index') AS files_added,
+         count(*) FILTER (WHERE action = 'reindex' AND status <> 'renamed') AS files_modified,
+         count(*) FILTER (WHERE action = 'patch' OR (action = 'reindex' AND status = 'renamed')) AS files_renamed,
+         count(*) FILTER (WHERE action = 'delete') AS files_deleted, count(*) FILTER (WHERE action = 'skip') AS files_skipped
+  FROM decided GROUP BY ALL)
+SELECT k.repository_id, kind = 'no_op' AS no_op, kind = 'full' AS fell_back_to_full_index,
+       coalesce(files_discovered, 0) AS files_discovered, coalesce(files_added, 0) AS files_added, coalesce(files_modified, 0) AS files_modified,
+       coalesce(files_renamed, 0) AS files_renamed, coalesce(files_deleted, 0) AS files_deleted, coalesce(files_skipped, 0) AS files_skipped,
+       coalesce(w.n, 0) AS total_chunks, coalesce(created, 0) AS chunks_created, coalesce(stale, 0) + coalesce(d.n, 0) AS chunks_deleted,
+       coalesce(f.n, 0) AS n_errors
+FROM kinds k LEFT JOIN acted USING (repository_id) LEFT JOIN chunk_counts USING (repository_id) LEFT JOIN dropped d USING (repository_id)
+LEFT JOIN whole w USING (repository_id) LEFT JOIN failed f USING (repository_id)"""
+)
+
+
+@register("job_report", JOBS)
+def job_report(spark, folder):
+    """Statistics of an index job for every repository: nothing to do, a full index, or a step from one commit to the next."""
+    kind = F.expr(JOB_KIND)
+    prior = prior_corpus(spark, folder)
+    known = Corpus(prior.files.filter(kind == "step"), prior.chunks.filter(kind == "step"))
+    files = new_files(spark, folder).withColumn("content", F.when(~F.sha2("path", 256).startswith("e"), F.col("content")))
+    jobs = old_files(spark, folder).select("repository_id").distinct().select(
+        "repository_id", F.when(kind == "no_op", "b").when(kind == "step", "a").alias("base_commit"), F.lit("b").alias("after_commit"))
+    return index_jobs.run_jobs(jobs, files, known).report.drop("base_commit", "after_commit")
+
+
 @register(
     "rename_patch",
     SNAPSHOTS + """
