@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from chunkloom.catalog.base import DOC_CHUNKS, doc_chunks, register
 from chunkloom.operators import graph
-from chunkloom.session import cut
 
 # Mentions of one-word symbols, the cap by text order, and the edges.
 EDGES = r"""
@@ -104,5 +103,5 @@ def neighbours(spark, folder):
     docs = doc_chunks(spark, folder)
     items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("chunk_id"))
     seeds = docs.join(items, "chunk_id").select(F.col("repository_id").alias("set_id"), "repository_id", "chunk_id")
-    near = graph.neighbours(seeds, cut(graph.reference_edges(docs)), docs)
+    near = graph.neighbours(seeds, graph.references_near(docs)(seeds), docs)
     return near.select("set_id", "chunk_id", "file_path", "score", "rank")

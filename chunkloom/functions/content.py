@@ -95,12 +95,11 @@ def label(symbol: Column | str, kind: Column | str) -> Column:
 def import_tokens(content: Column | str) -> Column:
     """Module tokens of an import statement: quoted strings and dotted names, in text order."""
     hits = F.regexp_extract_all(_col(content), F.lit(IMPORT_TOKEN), F.lit(0))
+    # A hit is a quoted string, or a keyword, white space and a name that has none.
     return F.transform(
         hits,
-        lambda m: F.when(
-            F.substring(m, 1, 1).isin('"', "'"),
-            F.regexp_extract(m, r"""^["']([^"']+)["']$""", 1),
-        ).otherwise(F.regexp_extract(m, r"^(?:from|import)\s+(.*)$", 1)),
+        lambda m: F.when(F.substring(m, 1, 1).isin('"', "'"), m.substr(F.lit(2), F.length(m) - 2))
+        .otherwise(F.substring_index(F.translate(m, "\t\n\x0b\f\r", "     "), " ", -1)),
     )
 
 

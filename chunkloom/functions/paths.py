@@ -57,7 +57,12 @@ def path_stem(path: Column | str) -> Column:
 
 def module_stem(token: Column | str) -> Column:
     """Last non-empty segment of a module name, dots counting as separators."""
-    return F.regexp_extract(F.translate(_col(token), ".", "/"), r"([^/]+)/*$", 1)
+    path = F.translate(_col(token), ".", "/")
+    # A line break at the very end is left over by the pattern, so such names keep it.
+    broken = F.substring(path, -1, 1).isin("\n", "\r", "\x85", "\u2028", "\u2029")
+    return F.when(broken, F.regexp_extract(path, r"(?<![^/])([^/]+)/*$", 1)).otherwise(
+        F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
+    )
 
 
 def repository_name(url: Column | str) -> Column:

@@ -8,6 +8,8 @@ alternation over every symbol of a repository.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import import_tokens, module_stem, path_stem
@@ -36,11 +38,11 @@ def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text.
 
     Names are a stored table, so the join is planned by its size: few names drop all other words before anything is
-    shuffled.
+    shuffled. The outer form keeps the optimizer from cutting texts again to test for empty arrays.
     """
     words = spread(chunks.select("repository_id", "chunk_id", "content")).select(
-        "repository_id", "chunk_id", F.posexplode(pieces("content")).alias("pos", "name")
-    )
+        "repository_id", "chunk_id", F.posexplode_outer(pieces("content")).alias("pos", "name")
+    ).filter(F.col("name").isNotNull())
     single = names.filter("n_pieces = 1").select("repository_id", "name", "n_targets")
     kept = ["repository_id", "chunk_id", "name"]
     positions = [F.min("pos").alias("first"), F.collect_list("pos").alias("positions")]
@@ -148,31 +150,57 @@ def reference_names(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataF
 
 def reference_edges(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """``references`` edges from a chunk to every chunk that defines a name it mentions."""
-    definitions = chunks.filter(F.length("symbol") >= MIN_SYMBOL_LENGTH).select(
+    return _defined(reference_names(chunks, edge_cap), _definitions(chunks))
+
+
+def references_near(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the edges of :func:`reference_edges` at some chunks (repository_id, chunk_id).
+
+    Edges grow with the square of a name's mentions and definitions. Here only the two are stored, and what a few chunks
+    mention or define is multiplied out. An edge between two of the chunks is given twice.
+    """
+    names, definitions = cut(reference_names(chunks, edge_cap)), cut(_definitions(chunks))
+
+    def near(seeds: DataFrame) -> DataFrame:
+        seed = cut(seeds.select("repository_id", "chunk_id").distinct())
+        out = names.join(seed, ["repository_id", "chunk_id"], "left_semi")
+        into = definitions.join(seed.withColumnRenamed("chunk_id", "to_chunk_id"), ["repository_id", "to_chunk_id"], "left_semi")
+        return _defined(out, definitions).unionByName(_defined(names, into))
+
+    return near
+
+
+def _definitions(chunks: DataFrame) -> DataFrame:
+    return chunks.filter(F.length("symbol") >= MIN_SYMBOL_LENGTH).select(
         "repository_id", F.col("symbol").alias("name"), F.col("chunk_id").alias("to_chunk_id")
     )
-    return (
-        reference_names(chunks, edge_cap).withColumnRenamed("chunk_id", "from_chunk_id")
-        .join(definitions, ["repository_id", "name"])
-        .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("references").alias("edge_type"))
+
+
+def _defined(names: DataFrame, definitions: DataFrame) -> DataFrame:
+    return names.withColumnRenamed("chunk_id", "from_chunk_id").join(definitions, ["repository_id", "name"]).select(
+        "repository_id", "from_chunk_id", "to_chunk_id", F.lit("references").alias("edge_type")
     )
 
 
 def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """``imports`` edges from import chunks to every chunk of a file whose stem is imported."""
+    # Stored, so that the join is planned by its size: few stems drop all other tokens before anything is shuffled.
+    stems = cut(files.select("repository_id", "file_id", path_stem("path").alias("stem")).filter("stem <> '' AND stem <> '__init__'"))
+    sizes = cut(stems.groupBy("repository_id", "stem").agg(F.count(F.lit(1)).alias("n_targets")))
     tokens = (
-        chunks.filter((F.col("kind") == "import") & (F.length("content") > 0))
-        .select("repository_id", "chunk_id", F.posexplode(import_tokens("content")).alias("pos", "token"))
-        .groupBy("repository_id", "chunk_id", module_stem("token").alias("stem")).agg(F.min("pos").alias("first"))
+        spread(chunks.filter((F.col("kind") == "import") & (F.length("content") > 0)).select("repository_id", "chunk_id", "content"))
+        .select("repository_id", "chunk_id", F.posexplode_outer(import_tokens("content")).alias("pos", "token"))
+        .filter(F.col("token").isNotNull())
+        .select("repository_id", "chunk_id", "pos", module_stem("token").alias("stem"))
+        .join(sizes, ["repository_id", "stem"])
+        .groupBy("repository_id", "chunk_id", "stem", "n_targets").agg(F.min("pos").alias("first"))
     )
-    stems = files.select("repository_id", "file_id", path_stem("path").alias("stem")).filter("stem <> '' AND stem <> '__init__'")
-    sizes = stems.groupBy("repository_id", "stem").agg(F.count(F.lit(1)).alias("n_targets"))
-    kept = _capped(tokens.join(sizes, ["repository_id", "stem"]), ["repository_id", "chunk_id"], edge_cap)
-    targets = chunks.select("repository_id", "file_id", F.col("chunk_id").alias("to_chunk_id"))
+    kept = _capped(tokens, ["repository_id", "chunk_id"], edge_cap)
+    # Chunks of a stem first, so that edges are multiplied out by the last join.
+    targets = stems.join(chunks.select("repository_id", "file_id", F.col("chunk_id").alias("to_chunk_id")), ["repository_id", "file_id"])
     return (
         kept.select("repository_id", F.col("chunk_id").alias("from_chunk_id"), "stem")
-        .join(stems, ["repository_id", "stem"])
-        .join(targets, ["repository_id", "file_id"])
+        .join(targets.select("repository_id", "stem", "to_chunk_id"), ["repository_id", "stem"])
         .filter(F.col("from_chunk_id") != F.col("to_chunk_id"))
         .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("imports").alias("edge_type"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chunkloom.functions import NONBLANK
@@ -52,17 +54,17 @@ def related_files(retrieved: DataFrame) -> DataFrame:
 
 
 def planning_context(
-    runs: DataFrame, queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame,
+    runs: DataFrame, queries: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame],
     issues: DataFrame, commits: DataFrame, **options,
 ) -> dict[str, DataFrame]:
     """Retrieved chunks, neighbours, history and the rendered context of every run.
 
     ``runs`` as in :func:`context.render_context`; ``queries`` as in :func:`retrieve` plus
-    issue_number.
+    issue_number; ``edges`` is a stored table, or a function like :func:`graph.references_near` gives.
     """
     retrieved = cut(retrieve(queries, chunks, vectors, **options))  # 15 rows a run, read three times
     seeds = retrieved.select(F.col("run_id").alias("set_id"), "repository_id", "chunk_id")
-    related = cut(graph.neighbours(seeds, edges, chunks).withColumnRenamed("set_id", "run_id"))
+    related = cut(graph.neighbours(seeds, edges(seeds) if callable(edges) else edges, chunks).withColumnRenamed("set_id", "run_id"))
     past = history.related_issues(queries, issues)
     log = history.related_commits(queries, commits)
     rendered = context.render_context(runs, retrieved, related, past, log)

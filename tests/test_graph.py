@@ -1,5 +1,8 @@
 import re
 
+from pyspark.sql import functions as F
+
+from chunkloom.functions import import_tokens, module_stem
 from chunkloom.operators import graph
 
 CHUNK = "chunk_id string, repository_id string, file_id string, symbol string, kind string, content string"
@@ -69,3 +72,26 @@ def test_imports_and_neighbours(spark):
     assert near == [("imp", 1), ("handle", 2)]
     row = graph.stats(chunks, made).first()
     assert (row.chunks_scanned, row.references_created, row.imports_created, row.total_created) == (3, 2, 1, 3)
+
+
+def test_edges_near_seeds_and_repeated_files(spark):
+    rows = [(f"c{i}", "r", f"f{i}", "alpha" if i % 3 else "beta", "import", "import alpha import beta, 'x/alpha//'" if i % 2 else 'from\t pkg.beta import "a b"') for i in range(12)]
+    chunks = spark.createDataFrame(rows + rows[:2], CHUNK)
+    files = spark.createDataFrame([("r", r[2], f"src/{r[3]}.md") for r in rows], "repository_id string, file_id string, path string")
+    seeds = spark.createDataFrame([("s", "r", "c1"), ("s", "r", "c6")], "set_id string, repository_id string, chunk_id string")
+    near = graph.references_near(chunks)(seeds)
+    every = graph.reference_edges(chunks).collect()
+    assert {tuple(e) for e in near.collect()} == {tuple(e) for e in every if {e.from_chunk_id, e.to_chunk_id} & {"c1", "c6"}}
+    take = lambda edges: sorted(map(tuple, graph.expand(seeds, edges, None).select("neighbour_id", "rank").collect()))
+    assert take(near) == take(graph.reference_edges(chunks)) != []
+    imports = {(e.from_chunk_id, e.to_chunk_id) for e in graph.import_edges(chunks, files).collect()}
+    named = {"alpha": [r[0] for r in rows if r[3] == "alpha"], "beta": [r[0] for r in rows if r[3] == "beta"]}
+    wanted = {(r[0], t) for i, r in enumerate(rows) for n in (("alpha", "beta") if i % 2 else ("beta",)) for t in named[n] if t != r[0]}
+    assert imports == wanted
+
+
+def test_import_tokens_and_stems(spark):
+    text = "from\t\n a.b.c import x.y 'q r/s//' \"t.u/\n\" import .. from é_1 'v"
+    row = spark.createDataFrame([(text,)], "t string").select(import_tokens("t").alias("k")).select("k", F.transform("k", module_stem).alias("s")).first()
+    assert row.k == ["a.b.c", "x.y", "q r/s//", "t.u/\n", "..", "é_1"]
+    assert row.s == ["c", "y", "s", "u", "", "é_1"]
