@@ -182,7 +182,7 @@ def contexts_of(spark, folder):
         F.lit(None).cast("string").alias("desired_behavior"), F.array(F.lit("a"), F.lit("b")).alias("requirements"),
     )
     return planning_context(
-        runs, queries, docs, doc_vectors(spark, folder), cut(graph.reference_edges(docs)), doc_issues(spark, folder), doc_commits(spark, folder)
+        runs, queries, docs, doc_vectors(spark, folder), graph.references_near(docs), doc_issues(spark, folder), doc_commits(spark, folder)
     )
 
 
@@ -298,8 +298,9 @@ SELECT query_id, round(n::DOUBLE / total, 6) AS recall, round(coalesce(1.0::DOUB
 def retrieval_eval(spark, folder):
     """How many of the three best lexical hits the hybrid result keeps."""
     queries, docs = bench_queries(spark, folder), doc_chunks(spark, folder)
-    expected = bm25.search(queries, docs, k=3).select("query_id", "chunk_id")
-    report = evaluation.retrieval(hybrid_search(queries, docs, doc_vectors(spark, folder)), expected, 10)
+    index = bm25.build_index_for(queries, docs)
+    expected = bm25.search(queries, k=3, index=index).select("query_id", "chunk_id")
+    report = evaluation.retrieval(hybrid_search(queries, docs, doc_vectors(spark, folder), index=index), expected, 10)
     return report.select("query_id", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 

@@ -58,6 +58,10 @@ def build_index(chunks: DataFrame) -> Bm25Index:
     posted = cut(postings(chunks))
     terms = cut(posted.groupBy("repository_id", "token").agg(F.count(F.lit(1)).alias("df")))
     n_tokens = posted.groupBy("repository_id").agg(F.sum("tf").alias("n_tokens"))
+    return Bm25Index(posted, terms, _stats(chunks, terms, n_tokens))
+
+
+def _stats(chunks: DataFrame, terms: DataFrame, n_tokens: DataFrame) -> DataFrame:
     # Chunks without tokens count as documents too.
     sizes = chunks.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n_docs")).join(
         n_tokens, "repository_id", "left"
@@ -72,7 +76,36 @@ def build_index(chunks: DataFrame) -> Bm25Index:
     stats = sizes.join(mean_idf, "repository_id", "left").select(
         "repository_id", "n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.col("n_docs")).alias("avg_len"), "avg_idf"
     )
-    return Bm25Index(posted, terms, cut(stats))
+    return cut(stats)
+
+
+def build_index_for(queries: DataFrame, chunks: DataFrame) -> Bm25Index:
+    """The index of ``chunks`` with the postings that ``queries`` read; terms and statistics are over all tokens.
+
+    The texts are tokenized once, into a stored table of token arrays. Frequencies need the distinct tokens of a row only,
+    which are aggregated where they are read, so of all postings only those of asked tokens are shuffled and written.
+    """
+    key = ["repository_id", "chunk_id", "doc_len"]
+    tokens = cut(spread(chunks.select("repository_id", "chunk_id", "content")).select("repository_id", "chunk_id", tokenize("content").alias("tokens")))
+    sized = tokens.select("repository_id", "chunk_id", F.size("tokens").alias("doc_len"), "tokens").filter("doc_len > 0")
+    # Rows of one key and length are one document, as postings are counted by both.
+    again = cut(sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]))
+    if not again.isEmpty():
+        same = (
+            sized["repository_id"].eqNullSafe(F.col("_repository_id")) & sized["chunk_id"].eqNullSafe(F.col("_chunk_id"))
+            & (sized["doc_len"] == F.col("_doc_len"))
+        )
+        merged = sized.join(again, same, "left_semi").groupBy(*key).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+        sized = cut(sized.join(again, same, "left_anti").unionByName(merged))
+    distinct = sized.select("repository_id", F.explode_outer(F.array_distinct("tokens")).alias("token"))
+    terms = cut(distinct.groupBy("repository_id", "token").agg(F.count(F.lit(1)).alias("df")))
+    n_tokens = sized.groupBy("repository_id").agg(F.sum(F.size("tokens").cast("long")).alias("n_tokens"))
+    asked = cut(query_tokens(queries).select("repository_id", "token").distinct())
+    posted = cut(
+        sized.select(*key, F.explode_outer("tokens").alias("token")).join(asked, ["repository_id", "token"])
+        .groupBy("repository_id", "chunk_id", "token", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    return Bm25Index(posted, terms, _stats(chunks, terms, n_tokens))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -117,7 +150,7 @@ def search(
     queries: DataFrame, chunks: DataFrame | None = None, k: int | None = BM25_CANDIDATES, index: Bm25Index | None = None
 ) -> DataFrame:
     """Top ``k`` chunks per query (rank from 1), all with None. ``queries`` has repository_id, query_id, query."""
-    index = index or build_index(chunks)
+    index = index or build_index_for(queries, chunks)
     best = Window.partitionBy("repository_id", "query_id").orderBy(F.desc("bm25_score"), "chunk_id")
     ranked = scores(queries, index).withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)

@@ -106,6 +106,21 @@ def test_history_paths_agree(spark):
     assert take(history.matches(terms.filter("query_no = 0"), texts, ["title"], ["number"], regex=True)) == [t for t in small if t[1] == 0]
 
 
+def test_index_for_queries_scores_as_the_full_one(spark):
+    """Rows of one chunk and length are one document; keys may be null."""
+    rows = [("r", "a", "one two two"), ("r", "a", "two one one"), ("r", "a", "two"), ("r", "b", "three one"), ("r", None, "one"), ("r", None, "two"), ("r", "c", None), ("r", "d", ""),
+            (None, "e", "one"), ("s", "f", "one four")]
+    chunks = spark.createDataFrame(rows, "repository_id string, chunk_id string, content string")
+    queries = spark.createDataFrame([("r", "q1", "one two one"), ("s", "q2", "four five"), ("t", "q3", "one")], "repository_id string, query_id string, query string")
+    full, part = bm25.build_index(chunks), bm25.build_index_for(queries, chunks)
+    flat = lambda df: sorted((tuple(map(str, r)) for r in df.collect()))
+    assert flat(full.terms) == flat(part.terms.select(full.terms.columns)) and flat(full.stats) == flat(part.stats)
+    asked = [("r", "one"), ("r", "two"), ("s", "four")]
+    columns = full.postings.columns
+    assert flat(part.postings.select(columns)) == [p for p in flat(full.postings) if (p[columns.index("repository_id")], p[columns.index("token")]) in asked]
+    assert flat(bm25.search(queries, chunks)) == flat(bm25.search(queries, index=full))
+
+
 def test_patterns_keep_their_case(spark):
     commits = spark.createDataFrame([("r", "a", 1, "ABC 123", None), ("r", "b", 2, "abc", "abcd")], "repository_id string, sha string, ts int, subject string, message string")
     queries = spark.createDataFrame([("run", "r", -1, n, q) for n, q in enumerate([r"abc\W", r"\D{4}$", r"b\Sd"])], "run_id string, repository_id string, issue_number int, query_no int, query string")
