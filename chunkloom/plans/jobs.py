@@ -76,7 +76,8 @@ def run_jobs(
     readable = mine.filter(F.col("content").isNotNull())
     compared = prior.files.join(due, "repository_id", "left_semi").join(broken, key, "left_anti")
     diff = cut(diff_of(compared, readable, prior_snapshot))
-    result = incremental_index(diff, readable, prior, embed, max_bytes)
+    # The counters of files and of repositories both read the chunk operations.
+    result = incremental_index(diff, readable, prior, embed, max_bytes, stored=True)
 
     errors = broken.filter(detect_language("path").isNotNull()).withColumn("error", F.lit("content is missing"))
     parsed = cut(file_results(result.chunk_ops))
