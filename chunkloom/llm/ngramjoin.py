@@ -44,6 +44,7 @@ from chunkloom.session import cut
 SIZE = 3
 SHARE = 90
 BLOCK_TOKENS = 3 << 18
+PACK_ROWS = 256             # texts of a batch that are words at a time
 BUCKET_GRAMS = 1 << 20      # n-grams of all blocks in a bucket, on average
 BINS = 32
 LIST_PART = 2048            # members of a list that meet in one cell, and rows of a key that are joined as one
@@ -58,29 +59,33 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _block(name: str, ids: list, documents: list[list[bytes]]) -> pa.RecordBatch:
-    codes, lengths, vocabulary = W.coded(documents)
+def _block(name: str, ids: list, lengths: list[int], words: list[pa.Array]) -> pa.RecordBatch:
+    coded = pa.chunked_array(words, pa.binary()).combine_chunks().dictionary_encode()
     return pa.RecordBatch.from_arrays([
-        pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([int(lengths.sum())], pa.int64()),
-        pa.array([W.narrow(lengths)], pa.binary()), pa.array([W.hashes(vocabulary).tobytes()], pa.binary()), pa.array([W.narrow(codes)], pa.binary()),
+        pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([sum(lengths)], pa.int64()),
+        pa.array([W.narrow(np.array(lengths, np.int64))], pa.binary()), pa.array([W.hashes(coded.dictionary.to_pylist()).tobytes()], pa.binary()),
+        pa.array([W.narrow(coded.indices.to_numpy())], pa.binary()),
     ], _names(BLOCK))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number, total = TaskContext.get().partitionId(), 0, 0
-    ids: list = []
-    documents: list[list[bytes]] = []
+    ids, lengths, words = [], [], []
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), W.binary_column(batch, "text")):
-            found = W.space_words(text)
-            ids.append(doc_id)
-            documents.append(found)
-            total += len(found) + 1
-            if total >= BLOCK_TOKENS:
-                yield _block(f"{part}-{number}", ids, documents)
-                ids, documents, total, number = [], [], 0, number + 1
+        for start in range(0, batch.num_rows, PACK_ROWS):
+            piece = batch.slice(start, PACK_ROWS)
+            for doc_id, text in zip(piece.column(0).to_pylist(), W.binary_column(piece, "text")):
+                found = W.space_words(text)
+                ids.append(doc_id)
+                lengths.append(len(found))
+                # Words wait as columns, which take a tenth of the memory of Python's objects.
+                words.append(pa.array(found, pa.binary()))
+                total += len(found) + 1
+                if total >= BLOCK_TOKENS:
+                    yield _block(f"{part}-{number}", ids, lengths, words)
+                    ids, lengths, words, total, number = [], [], [], 0, number + 1
     if ids:
-        yield _block(f"{part}-{number}", ids, documents)
+        yield _block(f"{part}-{number}", ids, lengths, words)
 
 
 def gram_sets(lengths: np.ndarray, hashed: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +124,8 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _ask(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 _, value, document, number = _sets_of(row, size)
                 # A document more for every further document of the block that has the n-gram.
                 times = np.bincount(number, minlength=len(value))
@@ -146,10 +152,13 @@ def _answer(table: pa.Table) -> pa.Table:
     documents = np.bincount(number, weights=np.concatenate([p[1] for p in parts]))
     kind = np.where(documents < 2, 0, np.minimum(np.floor(8 * np.log2(documents)) - 7, 255)).astype(np.uint8)[number]
     ends = np.cumsum([len(p[0]) for p in parts])
-    return pa.table({
+    out = pa.table({
         "bucket": pa.array(asked["bucket"], pa.int32()), "block": pa.array(asked["block"], pa.string()),
         "classes": pa.array([kind[e - len(p[0]): e].tobytes() for e, p in zip(ends, parts)], pa.binary()),
     })
+    del parts, number, documents, kind
+    W.give_back()
+    return out
 
 
 def _nodes(size: int, share: int):
@@ -174,7 +183,9 @@ def _nodes(size: int, share: int):
                 )):
                     out[name].append(cell)
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        return pa.table({name: pa.array(cells, kind) for (name, cells), kind in zip(out.items(), kinds)})
+        made = pa.table({name: pa.array(out.pop(name), kind) for name, kind in zip(_names(NODES), kinds)})
+        W.give_back()
+        return made
 
     return run
 
@@ -186,10 +197,10 @@ def profiles(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame
     ``bins`` after the prefix and the whole set ``grams`` are null where no such n-gram is left.
     """
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
-    blocks = cut(source.mapInArrow(_pack, BLOCK))
+    blocks = cut(source.mapInArrow(W.tidy(_pack), BLOCK))
     total = blocks.agg(F.sum("n_grams")).first()[0] or 0
     bits = min((total // BUCKET_GRAMS).bit_length(), 30)
-    asked = blocks.select("block", "lengths", "vocabulary", "codes").mapInArrow(_ask(size, bits), ASKED)
+    asked = blocks.select("block", "lengths", "vocabulary", "codes").mapInArrow(W.tidy(_ask(size, bits)), ASKED)
     answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
     return cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_nodes(size, share), NODES))
 

@@ -89,3 +89,14 @@ def test_requests_round_trip():
         times = rng.integers(1, most + 1, n)
         got = ngramjoin._unpacked(ngramjoin._packed(low, times))
         assert (got[0] == low).all() and (got[1] == times).all()
+
+
+def test_blocks_hold_whole_documents_across_pieces(spark, monkeypatch):
+    """Words wait as columns; a block ends where it is full, not where a batch or a piece of one ends."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(ngramjoin, "PACK_ROWS", 3)
+    texts = [None if i % 7 == 0 else "" if i % 11 == 0 else " ".join(f"w{(i + j) % 13}" for j in range(i % 17)) for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_shingles for r in ngramjoin.profiles(docs).select("doc_id", "n_shingles").collect()}
+    words = [(t or "").split() for t in texts]
+    assert got == {i: len({tuple(w[j: j + 3]) for j in range(max(len(w) - 2, 1))}) if w else 0 for i, w in enumerate(words)}
