@@ -30,18 +30,17 @@ def old_files(spark, folder):
 def new_files(spark, folder):
     docs = documents_as_files(spark, folder).withColumn("k", F.expr(KLASS))
     k = F.col("k")
-    changed = docs.filter(k != "0").select(
-        "source",
+    changed = F.struct(
         F.when(k == "3", F.concat(F.lit("moved/"), "path")).when(k == "5", F.concat(F.lit("edited/"), "path"))
         .when(k == "6", F.concat(F.lit("../"), "path")).when(k == "7", F.concat("path", F.lit(".bin")))
         .otherwise(F.col("path")).alias("path"),
         F.when(k.isin("1", "2", "5"), F.concat("text", F.lit(MORE)))
         .when(k == "8", F.concat(F.decode(F.lit(b"\x00"), "UTF-8"), "text")).otherwise(F.col("text")).alias("text"),
     )
-    fresh = docs.filter(k == "4").select(
-        "source", F.concat(F.lit("added/"), "path").alias("path"), F.concat(F.lit("fresh "), "text").alias("text")
-    )
-    return files_from_table(changed.unionByName(fresh), "source", "path", "text")
+    fresh = F.struct(F.concat(F.lit("added/"), "path").alias("path"), F.concat(F.lit("fresh "), "text").alias("text"))
+    # Both from one reading of the documents.
+    made = F.explode(F.when(k == "4", F.array(changed, fresh)).otherwise(F.array(changed)))
+    return files_from_table(docs.filter(k != "0").select("source", made.alias("f")).select("source", "f.*"), "source", "path", "text")
 
 
 SNAPSHOTS = f"""
@@ -251,9 +250,9 @@ def indexed_files(files):
     )
 
 
-def decisions_of(spark, folder):
+def decisions_of(spark, folder, indexed=None):
     new = new_files(spark, folder)
-    indexed = indexed_files(old_files(spark, folder))
+    indexed = cut(indexed_files(old_files(spark, folder))) if indexed is None else indexed
     return incremental.decide(diff_of(indexed, new), indexed, new)
 
 
@@ -298,13 +297,15 @@ def prior_corpus(spark, folder):
     indexed = incremental.readable(old_files(spark, folder))
     files = indexed.withColumn("file_id", incremental.new_file_id())
     chunks = chunk_corpus(files.select("repository_id", "file_id", F.col("path").alias("file_path"), "language", "text"))
-    chunks = cut(chunks.withColumn("chunk_id", incremental.new_chunk_id()))  # stands for the stored table
-    return Corpus(files.select("file_id", "repository_id", "path", "language", "content_hash"), chunks)
+    # Both stand for the stored tables.
+    chunks = cut(chunks.withColumn("chunk_id", incremental.new_chunk_id()))
+    return Corpus(cut(indexed_files(old_files(spark, folder))), chunks)
 
 
 @register("chunk_merge", MERGE + " SELECT repository_id, path AS file_path, content_hash, occurrence_no, op FROM ops")
 def chunk_merge(spark, folder):
-    result = apply_decisions(decisions_of(spark, folder), prior_corpus(spark, folder), None)
+    prior = prior_corpus(spark, folder)
+    result = apply_decisions(decisions_of(spark, folder, prior.files), prior, None, blobs=new_files(spark, folder))
     return result.chunk_ops.select("repository_id", "file_path", "content_hash", "occurrence_no", "op")
 
 
@@ -328,7 +329,8 @@ FROM decided d LEFT JOIN chunk_counts cc USING (repository_id) LEFT JOIN dropped
 GROUP BY d.repository_id""",
 )
 def incremental_stats(spark, folder):
-    result = apply_decisions(decisions_of(spark, folder), prior_corpus(spark, folder), None)
+    prior = prior_corpus(spark, folder)
+    result = apply_decisions(decisions_of(spark, folder, prior.files), prior, None, blobs=new_files(spark, folder))
     return result.stats.drop("no_op")
 
 

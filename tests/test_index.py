@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
 from chunkloom.operators import embed, snapshot
-from chunkloom.operators.incremental import decide
-from chunkloom.plans.index import Corpus, diff_of, empty_corpus, full_index, incremental_index
+from chunkloom.operators.incremental import decide, merge_chunks
+from chunkloom.plans.index import Corpus, apply_decisions, diff_of, empty_corpus, full_index, incremental_index
 from chunkloom.session import cut
 from chunkloom.sources.diffs import read_name_status
 
@@ -162,3 +162,41 @@ def test_edited_move_keeps_its_file_id_and_chunks(spark):
     assert before and before.items() <= after.items() and "rest" in after
     assert {r.op for r in result.chunk_ops.filter("file_path = 'bakery/oven.py'").collect()} == {"reuse", "embed"}
     assert chunk_set(result.corpus) == chunk_set(full_index(files(spark, new), empty_corpus(spark), fn).corpus)
+
+
+def read_columns(df):
+    """Columns of the stored tables that a query reads."""
+    import re
+
+    return {c.split("#")[0].strip() for scan in re.findall(r"FileScan parquet \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString()) for c in scan.split(",")}
+
+
+def test_counts_read_no_texts_and_decisions_run_once(spark):
+    first = settle(full_index(files(spark, A), empty_corpus(spark)).corpus)
+    blobs = cut(files(spark, B))
+    result = incremental_index(cut(diff_of(first.files, blobs)), blobs, first)
+    # Chunking reads the stored decisions; the tables they were made from are not joined again, with texts in the rows.
+    assert not set(first.files.inputFiles()) & set(result.chunk_ops.inputFiles())
+    existing, produced = cut(result.corpus.chunks), cut(first.chunks)
+    read = read_columns(merge_chunks(existing, produced).groupBy("repository_id").agg(F.count_if(F.col("op") == "embed")))
+    assert "content_hash" in read and "content" not in read
+
+
+def test_texts_joined_late_are_those_of_the_decisions(spark):
+    """Paths that occur twice, with equal and with other texts, and rows without a repository."""
+    first = settle(full_index(files(spark, A | {"twice.md": "# a\nb\n"}), empty_corpus(spark)).corpus)
+    more = {"twice.md": "# a\nc\n", "brew.py": A["brew.py"] + "\n\ndef pour():\n    pass\n"}
+    nobody = files(spark, {"free.md": "# free\n"}).withColumn("repository_id", F.lit(None).cast("string"))
+    new = cut(files(spark, B).unionByName(files(spark, more)).unionByName(files(spark, {"tray.py": B["tray.py"]})).unionByName(nobody))
+    decisions = cut(decide(cut(diff_of(first.files, new)), first.files, new))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    early, late = apply_decisions(decisions, first, None), apply_decisions(decisions, first, None, blobs=new)
+    assert rows(early.chunk_ops) == rows(late.chunk_ops) and rows(early.stats) == rows(late.stats)
+    assert len(rows(late.chunk_ops.filter("file_path = 'tray.py'"))) > 1 and late.chunk_ops.filter("file_path = 'brew.py' AND symbol = 'pour'").count() > 0
+
+
+def test_merged_chunk_without_symbol_is_the_new_one(spark):
+    schema = "chunk_id string, repository_id string, file_id string, file_path string, language string, symbol string, kind string, start_line int, end_line int, content string, content_hash string, occurrence_no int"
+    row = lambda symbol, line: ("c", "r", "f", "a.md", "markdown", symbol, "section", line, line, "x", "h", 0)
+    got = merge_chunks(spark.createDataFrame([row("old", 1)], schema), spark.createDataFrame([row(None, 2)], schema).drop("chunk_id")).collect()
+    assert [(r.op, r.chunk_id, r.symbol, r.start_line) for r in got] == [("reuse", "c", None, 2)]
