@@ -81,7 +81,7 @@ SELECT *, references_created + imports_created AS total_created FROM made""",
 )
 def graph_stats(spark, folder):
     docs = doc_chunks(spark, folder)
-    edges = graph.reference_edges(docs).unionByName(graph.import_edges(*import_inputs(spark, folder)))
+    edges = graph.reference_edges(docs, counted=True).unionByName(graph.import_edges(*import_inputs(spark, folder), counted=True))
     return graph.stats(docs, edges)
 
 

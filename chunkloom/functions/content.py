@@ -92,9 +92,10 @@ def label(symbol: Column | str, kind: Column | str) -> Column:
     return F.coalesce(F.nullif(_col(symbol), F.lit("")), _col(kind))
 
 
-def import_tokens(content: Column | str) -> Column:
-    """Module tokens of an import statement: quoted strings and dotted names, in text order."""
+def import_tokens(content: Column | str, first: int | None = None) -> Column:
+    """Module tokens of an import statement (only the ``first`` ones): quoted strings and dotted names, in text order."""
     hits = F.regexp_extract_all(_col(content), F.lit(IMPORT_TOKEN), F.lit(0))
+    hits = hits if first is None else F.slice(hits, 1, first)
     # A hit is a quoted string, or a keyword, white space and a name that has none.
     return F.transform(
         hits,

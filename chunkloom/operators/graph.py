@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import import_tokens, module_stem, path_stem
 from chunkloom.schemas import EDGE_CAP, MIN_SYMBOL_LENGTH, NEIGHBOUR_CAP
-from chunkloom.session import cut, spread
+from chunkloom.session import cut, is_small, spread
 
 # Word and separator pieces, in a form Java and RE2 read alike.
 WORD = r"[\p{L}\p{N}_]+"
 PIECES = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+# Tokens of a text that are looked up first; most texts meet the edge cap within them, the others are looked up whole.
+FIRST_TOKENS = 256
 
 
 def pieces(text: Column | str) -> Column:
@@ -34,19 +36,37 @@ def _names(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text.
+def _known(words: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
+    """Words that are names, with the columns of the stored table of names; others are dropped before a shuffle.
+
+    Names that measure small are broadcast. Of more names only hashes are, and the words that have one are joined by a
+    shuffle; where the hashes measure large too (two million names), all words are shuffled.
+    """
+    if is_small(names):
+        return words.join(F.broadcast(names), keys)
+    marks = names.select(F.xxhash64(*keys).alias("_mark"))
+    if is_small(marks):
+        words = words.withColumn("_mark", F.xxhash64(*keys)).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    return words.join(names, keys)
+
 
-    Names are a stored table, so the join is planned by its size: few names drop all other words before anything is
-    shuffled. The outer form keeps the optimizer from cutting texts again to test for empty arrays.
+def _words(texts: DataFrame, width: int | None = None) -> DataFrame:
+    """Pieces of texts that are long enough for a name, with their position (only the first ``width`` of a text).
+
+    The outer form keeps the optimizer from cutting texts again to test for empty arrays.
     """
-    words = spread(chunks.select("repository_id", "chunk_id", "content")).select(
-        "repository_id", "chunk_id", F.posexplode_outer(pieces("content")).alias("pos", "name")
-    ).filter(F.col("name").isNotNull())
+    cut_up = pieces("content") if width is None else F.slice(pieces("content"), 1, width)
+    return spread(texts.select("repository_id", "chunk_id", "content")).select(
+        "repository_id", "chunk_id", F.posexplode_outer(cut_up).alias("pos", "name")
+    ).filter(F.length("name") >= MIN_SYMBOL_LENGTH)
+
+
+def _word_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """Mentions of one-word names: positions per (chunk, name), collected within one chunk's text."""
     single = names.filter("n_pieces = 1").select("repository_id", "name", "n_targets")
     kept = ["repository_id", "chunk_id", "name"]
     positions = [F.min("pos").alias("first"), F.collect_list("pos").alias("positions")]
-    return words.join(single, ["repository_id", "name"]).groupBy(*kept, "n_targets").agg(*positions)
+    return _known(_words(chunks), single, ["repository_id", "name"]).groupBy(*kept, "n_targets").agg(*positions)
 
 
 def _phrase_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -118,16 +138,69 @@ def _capped(rows: DataFrame, owner: list[str], cap: int | None) -> DataFrame:
     return rows.withColumn("_taken", taken).filter(F.col("_taken") < cap).drop("_taken")
 
 
+def _taken(texts: DataFrame, words: Callable[[DataFrame, int | None], DataFrame], names: DataFrame, cap: int, width: int | None) -> DataFrame:
+    """Names that :func:`_capped` keeps of the first ``width`` words (all with None), and whether a text is ``open``.
+
+    A text is open if words are left that were not looked up and the cap is not met. All rows of a chunk meet in one
+    shuffle: its mentions, and a row of each text with its length and the name that is no mention there.
+    """
+    owner = ["repository_id", "chunk_id"]
+    mentions = _known(words(texts, width), names, ["repository_id", "name"]).select(
+        *owner, "name", "pos", "n_targets", F.lit(False).alias("own"), F.lit(0).alias("length")
+    )
+    heads = texts.select(
+        *owner, F.when(F.col("chunk_id").isNotNull(), F.col("own")).alias("name"), F.lit(None).cast("int").alias("pos"),
+        F.lit(None).cast("bigint").alias("n_targets"), F.lit(True).alias("own"), F.length("content").alias("length"),
+    )
+    rows = mentions.unionByName(heads).repartition(*owner).groupBy(*owner, "name").agg(
+        F.min("pos").alias("first"), F.max("n_targets").alias("n"), F.max("own").alias("own"), F.max("length").alias("length")
+    ).withColumn("n_targets", F.when(~F.col("own"), F.col("n")))
+    whole = Window.partitionBy(*owner)
+    before = whole.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = lambda c: F.coalesce(c, F.lit(0))
+    left = F.lit(False) if width is None else (F.max("length").over(whole) > width) & (nothing(F.sum("n_targets").over(whole)) < cap)
+    return rows.select(
+        *owner, "name", "first", "n_targets", left.alias("open"), nothing(F.sum("n_targets").over(before)).alias("_taken")
+    ).filter(F.col("open") | F.col("n_targets").isNotNull() & (F.col("_taken") < cap)).drop("_taken")
+
+
+def _first_names(texts: DataFrame, words: Callable[[DataFrame, int | None], DataFrame], names: DataFrame, cap: int) -> DataFrame:
+    """Names of each chunk in text order as :func:`_capped` keeps them, without a look at all words of all texts.
+
+    ``texts``: repository_id, chunk_id, content, own (a name that is no mention there). What precedes a name decides on
+    it, so the beginning of a text is enough once the names in it meet the cap; the texts that are open then are looked up whole.
+    """
+    columns = ["repository_id", "chunk_id", "name", "first", "n_targets"]
+    begun = cut(_taken(texts, words, names, cap, FIRST_TOKENS))
+    todo = begun.filter("open").select("repository_id", "chunk_id").distinct()
+    if todo.isEmpty():
+        return begun.select(*columns)
+    if not is_small(todo):
+        return _taken(texts, words, names, cap, None).select(*columns)
+    here = (texts["repository_id"] == todo["repository_id"]) & texts["chunk_id"].eqNullSafe(todo["chunk_id"])
+    rest = _taken(texts.join(F.broadcast(todo), here, "left_semi"), words, names, cap, None)
+    return begun.filter("NOT open").select(*columns).unionByName(rest.select(*columns))
+
+
 def reference_names(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
     """Kept mentions (repository_id, chunk_id, name): the edge table before it is multiplied out.
 
     Names of a chunk are kept until ``edge_cap`` edges, all with None. A name with m mentions and d definitions is m
     rows here and m x d edges; jobs that only need the relation can keep this form and the definitions apart.
     """
+    return _reference_names(chunks, edge_cap).select("repository_id", "chunk_id", "name")
+
+
+def _reference_names(chunks: DataFrame, edge_cap: int | None) -> DataFrame:
+    """:func:`reference_names` with the number of chunks that define a name."""
     names = cut(_names(chunks))
     columns = ["repository_id", "chunk_id", "name", "first", "n_targets"]
+    phrases = not names.filter("n_pieces > 1").isEmpty()
+    if not phrases and edge_cap is not None:
+        texts = chunks.select("repository_id", "chunk_id", "content", F.col("symbol").alias("own"))
+        return _first_names(texts, _words, names.select("repository_id", "name", "n_targets"), edge_cap)
     words = _word_mentions(chunks, names)
-    if names.filter("n_pieces > 1").isEmpty():
+    if not phrases:
         mentions = words.select(*columns)
     else:
         taken = cut(_phrase_mentions(chunks, names))
@@ -145,11 +218,18 @@ def reference_names(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataF
         mentions = single.unionByName(phrases)
     own = chunks.filter(F.col("symbol").isNotNull()).select("repository_id", "chunk_id", F.col("symbol").alias("name"))
     mentions = mentions.join(own, ["repository_id", "chunk_id", "name"], "left_anti")
-    return _capped(mentions, ["repository_id", "chunk_id"], edge_cap).select("repository_id", "chunk_id", "name")
+    return _capped(mentions, ["repository_id", "chunk_id"], edge_cap)
+
 
+def reference_edges(chunks: DataFrame, edge_cap: int | None = EDGE_CAP, counted: bool = False) -> DataFrame:
+    """``references`` edges from a chunk to every chunk that defines a name it mentions.
 
-def reference_edges(chunks: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
-    """``references`` edges from a chunk to every chunk that defines a name it mentions."""
+    ``counted`` gives one row per chunk and name with ``n_edges``, the number of its edges, in place of each edge.
+    """
+    if counted:
+        return _reference_names(chunks, edge_cap).select(
+            "repository_id", F.col("chunk_id").alias("from_chunk_id"), F.lit("references").alias("edge_type"), F.col("n_targets").alias("n_edges")
+        )
     return _defined(reference_names(chunks, edge_cap), _definitions(chunks))
 
 
@@ -182,35 +262,58 @@ def _defined(names: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
-def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDGE_CAP) -> DataFrame:
-    """``imports`` edges from import chunks to every chunk of a file whose stem is imported."""
-    # Stored, so that the join is planned by its size: few stems drop all other tokens before anything is shuffled.
-    stems = cut(files.select("repository_id", "file_id", path_stem("path").alias("stem")).filter("stem <> '' AND stem <> '__init__'"))
-    sizes = cut(stems.groupBy("repository_id", "stem").agg(F.count(F.lit(1)).alias("n_targets")))
-    tokens = (
-        spread(chunks.filter((F.col("kind") == "import") & (F.length("content") > 0)).select("repository_id", "chunk_id", "content"))
-        .select("repository_id", "chunk_id", F.posexplode_outer(import_tokens("content")).alias("pos", "token"))
+def _import_words(texts: DataFrame, width: int | None = None) -> DataFrame:
+    """Stems of the modules that texts import, with their position (only the first ``width`` of a text)."""
+    return (
+        spread(texts.select("repository_id", "chunk_id", "content"))
+        .select("repository_id", "chunk_id", F.posexplode_outer(import_tokens("content", width)).alias("pos", "token"))
         .filter(F.col("token").isNotNull())
-        .select("repository_id", "chunk_id", "pos", module_stem("token").alias("stem"))
-        .join(sizes, ["repository_id", "stem"])
-        .groupBy("repository_id", "chunk_id", "stem", "n_targets").agg(F.min("pos").alias("first"))
+        .select("repository_id", "chunk_id", "pos", module_stem("token").alias("name"))
     )
-    kept = _capped(tokens, ["repository_id", "chunk_id"], edge_cap)
+
+
+def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDGE_CAP, counted: bool = False) -> DataFrame:
+    """``imports`` edges from import chunks to every chunk of a file whose stem is imported.
+
+    ``counted`` gives one row per chunk and stem with ``n_edges``, the number of its edges, in place of each edge.
+    """
+    stems = cut(files.select("repository_id", "file_id", path_stem("path").alias("name")).filter("name <> '' AND name <> '__init__'"))
+    sizes = cut(stems.groupBy("repository_id", "name").agg(F.count(F.lit(1)).alias("n_targets")))
+    texts = chunks.filter((F.col("kind") == "import") & (F.length("content") > 0)).select(
+        "repository_id", "chunk_id", "content", F.lit(None).cast("string").alias("own")
+    )
+    if edge_cap is None:
+        found = _known(_import_words(texts), sizes, ["repository_id", "name"]).select("repository_id", "chunk_id", "name").distinct()
+    else:
+        found = _first_names(texts, _import_words, sizes, edge_cap)
+    kept = found.select("repository_id", F.col("chunk_id").alias("from_chunk_id"), "name")
     # Chunks of a stem first, so that edges are multiplied out by the last join.
     targets = stems.join(chunks.select("repository_id", "file_id", F.col("chunk_id").alias("to_chunk_id")), ["repository_id", "file_id"])
+    targets = targets.select("repository_id", "name", "to_chunk_id")
+    if not counted:
+        return (
+            kept.join(targets, ["repository_id", "name"])
+            .filter(F.col("from_chunk_id") != F.col("to_chunk_id"))
+            .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("imports").alias("edge_type"))
+        )
+    # Each pair of a chunk and a target of its stem, less those of a chunk with itself.
+    targets = cut(targets.filter(F.col("to_chunk_id").isNotNull()))
+    every = targets.groupBy("repository_id", "name").agg(F.count(F.lit(1)).alias("_every"))
+    itself = targets.groupBy("repository_id", "name", F.col("to_chunk_id").alias("from_chunk_id")).agg(F.count(F.lit(1)).alias("_itself"))
     return (
-        kept.select("repository_id", F.col("chunk_id").alias("from_chunk_id"), "stem")
-        .join(targets.select("repository_id", "stem", "to_chunk_id"), ["repository_id", "stem"])
-        .filter(F.col("from_chunk_id") != F.col("to_chunk_id"))
-        .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("imports").alias("edge_type"))
+        kept.filter(F.col("from_chunk_id").isNotNull())
+        .join(itself, ["repository_id", "name", "from_chunk_id"], "left").join(every, ["repository_id", "name"])
+        .select("repository_id", "from_chunk_id", F.lit("imports").alias("edge_type"), (F.col("_every") - F.coalesce("_itself", F.lit(0))).alias("n_edges"))
     )
 
 
 def stats(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chunks and edges of each repository; edges are rows, or counted in their column ``n_edges``."""
     scanned = chunks.groupBy("repository_id").agg(F.count(F.lit(1)).alias("chunks_scanned"))
+    n_edges = F.col("n_edges") if "n_edges" in edges.columns else F.lit(1).cast("bigint")
     made = edges.groupBy("repository_id").agg(
-        F.count_if(F.col("edge_type") == "references").alias("references_created"),
-        F.count_if(F.col("edge_type") == "imports").alias("imports_created"),
+        F.sum(F.when(F.col("edge_type") == "references", n_edges)).alias("references_created"),
+        F.sum(F.when(F.col("edge_type") == "imports", n_edges)).alias("imports_created"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scanned.join(made, "repository_id", "left").select(

@@ -90,6 +90,60 @@ def test_edges_near_seeds_and_repeated_files(spark):
     assert imports == wanted
 
 
+def pairs_by_rule(rows, files):
+    """Capped reference and import edges (cap 5) of rows that may share an id, by chunk id: names in order of their first position."""
+    def kept(tokens_of, targets, own):
+        first = {}
+        for r in rows:
+            for pos, name in enumerate(tokens_of(r[5])):
+                if name in targets and name not in own(r[0]):
+                    first[r[0], name] = min(pos, first.get((r[0], name), pos))
+        out, taken = [], {}
+        for (chunk, name), _ in sorted(first.items(), key=lambda x: x[1]):
+            if taken.get(chunk, 0) < 5:
+                out += [(chunk, t) for t in targets[name]]
+            taken[chunk] = taken.get(chunk, 0) + sizes[name]
+        return out
+
+    symbols, stems = {}, {}
+    for r in rows:
+        symbols.setdefault(r[3], []).append(r[0])
+    sizes = {n: len(t) for n, t in symbols.items()}
+    owned = lambda c: {r[3] for r in rows if r[0] == c} if c is not None else ()
+    references = kept(lambda t: re.findall(r"\w+|\W+", t), symbols, owned)
+    for file, stem in files:
+        stems.setdefault(stem, []).extend(r[0] for r in rows if r[2] == file)
+    sizes = {n: sum(s == n for _, s in files) for n in stems}
+    imports = kept(lambda t: re.findall(r"import (\w+)", t), stems, lambda c: ())
+    return references, [(a, b) for a, b in imports if a is not None and b is not None and a != b]
+
+
+def test_counted_edges_are_the_edges_of_texts_begun_and_read_whole(spark, monkeypatch):
+    names = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    # No two rows of one id have names at one position.
+    word = lambda i, k: names[(i + k * k) % 6] if (i + k) % 7 == 0 else f"w{(i * 31 + k) % 17}x"
+    rows = [
+        (None if i % 13 == 5 else f"c{i - i % 9 if i % 11 == 3 else i}", "r", f"f{i % 20}", names[i % 6] if i < 15 else f"name{i}", "import",
+         " ".join(f"import {word(i, k)}" for k in range(1 + i * 7 % 40)))
+        for i in range(60)
+    ]
+    files = sorted({(r[2], r[3]) for r in rows[::2]})
+    chunks = spark.createDataFrame(rows, CHUNK)
+    table = spark.createDataFrame([("r", f, f"src/{s}.py") for f, s in files], "repository_id string, file_id string, path string")
+    references, imports = pairs_by_rule(rows, files)
+    pairs = lambda edges: sorted((str(e.from_chunk_id), str(e.to_chunk_id)) for e in edges.collect())
+    small = graph.is_small
+    ways = [small, lambda df: "name" not in df.columns and small(df), lambda df: False]  # names, only their hashes, or nothing is broadcast
+    for tokens, is_small in [(1000, ways[0]), (4, ways[1]), (4, ways[2]), (4, ways[0])]:
+        monkeypatch.setattr(graph, "FIRST_TOKENS", tokens)
+        monkeypatch.setattr(graph, "is_small", is_small)
+        counted = graph.reference_edges(chunks, 5, counted=True).unionByName(graph.import_edges(chunks, table, 5, counted=True))
+        row = graph.stats(chunks, counted).first()
+        assert (row.chunks_scanned, row.references_created, row.imports_created) == (60, len(references), len(imports))
+    assert pairs(graph.reference_edges(chunks, 5)) == sorted((str(a), str(b)) for a, b in references)
+    assert pairs(graph.import_edges(chunks, table, 5)) == sorted((str(a), str(b)) for a, b in imports)
+
+
 def test_import_tokens_and_stems(spark):
     text = "from\t\n a.b.c import x.y 'q r/s//' \"t.u/\n\" import .. from é_1 'v"
     row = spark.createDataFrame([(text,)], "t string").select(import_tokens("t").alias("k")).select("k", F.transform("k", module_stem).alias("s")).first()
