@@ -25,7 +25,7 @@ edges AS (
   SELECT k.repository_id, k.chunk_id AS from_chunk_id, s.chunk_id AS to_chunk_id, 'references' AS edge_type
   FROM kept k JOIN symbols s USING (repository_id, name))"""
 
-IMPORTS = r"""
+IMPORT_STEMS = r"""
 import_chunks AS (
   SELECT repository_id, chunk_id, 'import ' || replace(content, ' ', ' import ') AS content FROM doc_chunks),
 files AS (SELECT repository_id, chunk_id AS file_id, symbol AS stem FROM doc_chunks WHERE symbol IS NOT NULL),
@@ -36,7 +36,9 @@ import_stems AS (
   SELECT repository_id, chunk_id, stem, min(pos) AS first FROM (
     SELECT repository_id, chunk_id, pos, regexp_extract(replace(
       CASE WHEN left(token, 1) IN ('"', '''') THEN token[2:-2] ELSE regexp_replace(token, '^(?:from|import)\s+', '') END, '.', '/'), '([^/]+)/*$', 1) AS stem
-    FROM toks) GROUP BY ALL),
+    FROM toks) GROUP BY ALL),"""
+
+IMPORTS = IMPORT_STEMS + r"""
 stem_sizes AS (SELECT repository_id, stem, count(*) AS n FROM files WHERE stem <> '__init__' GROUP BY ALL),
 import_kept AS (
   SELECT repository_id, chunk_id, stem FROM (
@@ -46,6 +48,12 @@ imports AS (
   SELECT k.repository_id, k.chunk_id AS from_chunk_id, f.file_id AS to_chunk_id, 'imports' AS edge_type
   FROM import_kept k JOIN files f USING (repository_id, stem) WHERE f.file_id <> k.chunk_id)"""
 
+# Every file of every imported stem.
+ALL_IMPORTS = IMPORT_STEMS + r"""
+imports AS (
+  SELECT k.repository_id, k.chunk_id AS from_chunk_id, f.file_id AS to_chunk_id, 'imports' AS edge_type
+  FROM import_stems k JOIN files f USING (repository_id, stem) WHERE stem <> '__init__' AND f.file_id <> k.chunk_id)"""
+
 
 def import_inputs(spark, folder):
     """Every word of a document becomes an import; files are named by the documents' symbols."""
@@ -64,9 +72,9 @@ def reference_edges(spark, folder):
     return graph.reference_edges(doc_chunks(spark, folder))
 
 
-@register("import_edges", "WITH" + DOC_CHUNKS + "," + IMPORTS + " SELECT * FROM imports")
+@register("import_edges", "WITH" + DOC_CHUNKS + "," + ALL_IMPORTS + " SELECT * FROM imports")
 def import_edges(spark, folder):
-    return graph.import_edges(*import_inputs(spark, folder))
+    return graph.import_edges(*import_inputs(spark, folder), edge_cap=None)
 
 
 @register(

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chunkloom.functions import import_tokens, module_stem, path_stem
+from chunkloom.operators.skew import grid_join
 from chunkloom.schemas import EDGE_CAP, MIN_SYMBOL_LENGTH, NEIGHBOUR_CAP
 from chunkloom.session import cut, is_small, spread
 
@@ -275,6 +276,8 @@ def _import_words(texts: DataFrame, width: int | None = None) -> DataFrame:
 def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDGE_CAP, counted: bool = False) -> DataFrame:
     """``imports`` edges from import chunks to every chunk of a file whose stem is imported.
 
+    Stems of a chunk are kept until ``edge_cap`` files, all with None. Edges are the product of a stem's chunks and targets:
+    few targets are broadcast, more meet the chunks in cells of bounded size, so a common stem is many tasks.
     ``counted`` gives one row per chunk and stem with ``n_edges``, the number of its edges, in place of each edge.
     """
     stems = cut(files.select("repository_id", "file_id", path_stem("path").alias("name")).filter("name <> '' AND name <> '__init__'"))
@@ -286,23 +289,21 @@ def import_edges(chunks: DataFrame, files: DataFrame, edge_cap: int | None = EDG
         found = _known(_import_words(texts), sizes, ["repository_id", "name"]).select("repository_id", "chunk_id", "name").distinct()
     else:
         found = _first_names(texts, _import_words, sizes, edge_cap)
-    kept = found.select("repository_id", F.col("chunk_id").alias("from_chunk_id"), "name")
+    keys = ["repository_id", "name"]
+    kept = found.filter(F.col("chunk_id").isNotNull()).select(*keys, F.col("chunk_id").alias("from_chunk_id"))
     # Chunks of a stem first, so that edges are multiplied out by the last join.
     targets = stems.join(chunks.select("repository_id", "file_id", F.col("chunk_id").alias("to_chunk_id")), ["repository_id", "file_id"])
-    targets = targets.select("repository_id", "name", "to_chunk_id")
+    targets = cut(targets.filter(F.col("to_chunk_id").isNotNull()).select(*keys, "to_chunk_id"))
     if not counted:
-        return (
-            kept.join(targets, ["repository_id", "name"])
-            .filter(F.col("from_chunk_id") != F.col("to_chunk_id"))
-            .select("repository_id", "from_chunk_id", "to_chunk_id", F.lit("imports").alias("edge_type"))
+        pairs = kept.join(F.broadcast(targets), keys) if is_small(targets) else grid_join(cut(kept), targets, keys, "from_chunk_id", "to_chunk_id")
+        return pairs.filter(F.col("from_chunk_id") != F.col("to_chunk_id")).select(
+            "repository_id", "from_chunk_id", "to_chunk_id", F.lit("imports").alias("edge_type")
         )
     # Each pair of a chunk and a target of its stem, less those of a chunk with itself.
-    targets = cut(targets.filter(F.col("to_chunk_id").isNotNull()))
     every = targets.groupBy("repository_id", "name").agg(F.count(F.lit(1)).alias("_every"))
     itself = targets.groupBy("repository_id", "name", F.col("to_chunk_id").alias("from_chunk_id")).agg(F.count(F.lit(1)).alias("_itself"))
     return (
-        kept.filter(F.col("from_chunk_id").isNotNull())
-        .join(itself, ["repository_id", "name", "from_chunk_id"], "left").join(every, ["repository_id", "name"])
+        kept.join(itself, [*keys, "from_chunk_id"], "left").join(every, keys)
         .select("repository_id", "from_chunk_id", F.lit("imports").alias("edge_type"), (F.col("_every") - F.coalesce("_itself", F.lit(0))).alias("n_edges"))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chunkloom.session import cut
 
 
 def fine_bucket(column: str) -> Column:
@@ -56,3 +57,26 @@ def spread_join(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
     ).drop("_parts")
     return split_left.join(split_right, [*keys, "_part"], how).drop("_part")
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, rows: int = 5_000) -> DataFrame:
+    """Inner equi-join where a key may have many rows on both sides; both are stored tables.
+
+    A key with more than ``rows`` x ``rows`` pairs is a grid of cells of about that size: its left rows are split by a hash
+    of ``left_id`` and repeated for each part of the right ones, and the other way round.
+    """
+    size = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    parts = lambda n: F.ceil(F.col(n) / rows).cast("int").alias(n)
+    hot = cut(
+        size(left, "_l").join(size(right, "_r"), keys)
+        .filter(F.col("_l").cast("double") * F.col("_r") > float(rows) * rows).select(*keys, parts("_l"), parts("_r"))
+    )
+
+    def side(df: DataFrame, own: str, row_id: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
+        one = lambda c: F.coalesce(c, F.lit(1))
+        return df.join(hot, keys, "left").withColumn(own, F.pmod(F.xxhash64(row_id), one(own_parts).cast("long")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), one(other_parts) - 1))
+        ).drop("_l", "_r")
+
+    cells = side(left, "_i", left_id, "_l", "_j", "_r")
+    return cells.join(side(right, "_j", right_id, "_r", "_i", "_l"), [*keys, "_i", "_j"]).drop("_i", "_j")

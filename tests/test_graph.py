@@ -1,9 +1,12 @@
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+from chunkloom.catalog import ORACLES, QUERIES
 from chunkloom.functions import import_tokens, module_stem
 from chunkloom.operators import graph
+from chunkloom.operators.skew import grid_join
 
 CHUNK = "chunk_id string, repository_id string, file_id string, symbol string, kind string, content string"
 
@@ -144,6 +147,28 @@ def test_counted_edges_are_the_edges_of_texts_begun_and_read_whole(spark, monkey
     assert pairs(graph.import_edges(chunks, table, 5)) == sorted((str(a), str(b)) for a, b in imports)
 
 
+def test_import_edges_query_keeps_every_partner(spark, tmp_path, monkeypatch):
+    texts = [f"alpha beta w{i}" for i in range(30)] + [f"beta alpha 'x' alpha w{i}" for i in range(10)] + ["gamma beta alpha", "__init__ alpha", None]
+    rows = [(i, t, "s", "en", 0) for i, t in enumerate(texts)] + [(50, "alpha", None, "en", 0), (51, "alpha", "other", "en", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "repository_id, from_chunk_id, to_chunk_id, edge_type"
+    want = sorted(con.execute(f"SELECT {columns} FROM ({ORACLES['import_edges']})").fetchall())
+    assert len([t for _, f, t, _ in want if f == 0]) == 39 + 1 and "taken" not in ORACLES["import_edges"]  # alpha alone meets a cap of 25
+    small = graph.is_small
+    for is_small in (small, lambda df: "to_chunk_id" not in df.columns and small(df)):
+        monkeypatch.setattr(graph, "is_small", is_small)
+        assert sorted(map(tuple, QUERIES["import_edges"](spark, str(tmp_path)).select(*columns.split(", ")).collect())) == want
+
+
+def test_grid_join_gives_the_pairs_of_hot_keys_once(spark, tmp_path):
+    table = lambda n, name: spark.range(n).select((F.col("id") % 7 % 3 % 2).alias("k"), F.col("id").alias(name))
+    left, right = table(200, "a"), table(90, "b")
+    got = grid_join(left, right, ["k"], "a", "b", rows=10).select("k", "a", "b")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+
+
 def test_import_tokens_and_stems(spark):
     text = "from\t\n a.b.c import x.y 'q r/s//' \"t.u/\n\" import .. from é_1 'v"
     row = spark.createDataFrame([(text,)], "t string").select(import_tokens("t").alias("k")).select("k", F.transform("k", module_stem).alias("s")).first()
