@@ -155,7 +155,7 @@ def test_import_edges_query_keeps_every_partner(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     columns = "repository_id, from_chunk_id, to_chunk_id, edge_type"
     want = sorted(con.execute(f"SELECT {columns} FROM ({ORACLES['import_edges']})").fetchall())
-    assert len([t for _, f, t, _ in want if f == 0]) == 39 + 1 and "taken" not in ORACLES["import_edges"]  # alpha alone meets a cap of 25
+    assert len([t for _, f, t, _ in want if f == 0]) == 39 and "taken" not in ORACLES["import_edges"]  # alpha alone meets a cap of 25
     small = graph.is_small
     for is_small in (small, lambda df: "to_chunk_id" not in df.columns and small(df)):
         monkeypatch.setattr(graph, "is_small", is_small)
